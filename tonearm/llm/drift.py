@@ -1,0 +1,129 @@
+"""Changes of frame ids and value types between the files of a feed (problem 3).
+
+Files are read feed by feed in the order of batch_no, two at a time, so memory holds two files whatever the size of a
+feed. A frame that left and one that came are one renamed frame if their values agree, in one text form, for nearly
+all of the tracks that have a value in both files; each frame has one partner at most, the best agreement first.
+
+Rows without a feed or batch_no belong to no file. A payload that isn't a JSON object has no frames. A frame without
+non-null values has no type; where two types are equally common, the earlier file's type stands if it is one of them.
+"""
+
+from __future__ import annotations
+
+import json
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Least share of compared tracks with the same content in a renamed frame.
+AGREE = 0.8
+_NAMES = ["feed_id", "batch_no", "change_kind", "frame_id", "new_frame_id"]
+_ROW = pa.schema(list(zip(_NAMES, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))))
+
+
+class File:
+    """The frames of one file: which are there, their values by track, and their types."""
+
+    def __init__(self) -> None:
+        self.values: dict[str, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
+        self.types: dict[str, Counter[str]] = defaultdict(Counter)
+        self.frames: set[str] = set()
+        self.seen: set[tuple[int | None, str]] = set()
+
+    def add(self, track: int | None, payload: str | None) -> None:
+        if payload is None or (track, payload) in self.seen:  # repeated rows count once
+            return
+        self.seen.add((track, payload))
+        try:
+            record = json.loads(payload)
+        except ValueError:
+            return
+        if not isinstance(record, dict):
+            return
+        self.frames |= record.keys()
+        for frame, value in record.items():
+            if value is not None:
+                self.types[frame][type_of(value)] += 1
+                if track is not None:
+                    self.values[frame][track].add(as_text(value))
+
+
+def type_of(value: object) -> str:
+    if isinstance(value, bool):
+        return "boolean"
+    return {str: "text", int: "number", float: "number", list: "list", dict: "object"}[type(value)]
+
+
+def as_text(value: object) -> str:
+    """One form for the same content of different types."""
+    if isinstance(value, bool):
+        return str(int(value))
+    if isinstance(value, float) and value.is_integer():
+        return str(int(value))
+    if isinstance(value, list):
+        return "/".join(as_text(x) for x in value)
+    if isinstance(value, dict):
+        return as_text(value["text"]) if "text" in value else json.dumps(value, sort_keys=True, ensure_ascii=False)
+    return {"true": "1", "false": "0"}.get(str(value).lower(), str(value))
+
+
+def _common(types: Counter[str]) -> set[str]:
+    return {t for t, n in types.items() if n == max(types.values())}
+
+
+def changes(a: File, b: File) -> list[tuple[str, str, str]]:
+    """(change_kind, frame_id, new_frame_id) from a file to the next."""
+    left, came = a.frames - b.frames, b.frames - a.frames
+    pairs = []
+    for old in left:
+        for new in came:
+            x, y = a.values.get(old, {}), b.values.get(new, {})
+            both = x.keys() & y.keys()
+            same = sum(bool(x[t] & y[t]) for t in both)
+            if same and same >= AGREE * len(both):
+                pairs.append((-same, len(both), old, new))
+    out = []
+    for _, _, old, new in sorted(pairs):
+        if old in left and new in came:
+            out.append(("renamed", old, new))
+            left.discard(old)
+            came.discard(new)
+    out += [("removed", f, "") for f in sorted(left)] + [("added", f, "") for f in sorted(came)]
+    for f in sorted(a.frames & b.frames):
+        before, now = _common(a.types.get(f, Counter())), _common(b.types.get(f, Counter()))
+        if before and now and not before & now:
+            out.append(("retyped", f, ""))
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    feed = at = None
+    before: File | None = None
+    here = File()
+    out: list[tuple] = []
+
+    def close() -> None:
+        if before is not None:
+            out.extend((feed, at, *c) for c in changes(before, here))
+
+    for batch in batches:
+        for f, n, track, payload in zip(*(batch.column(c).to_pylist() for c in ("feed_id", "batch_no", "track_ref", "payload"))):
+            if (f, n) != (feed, at):
+                close()
+                before, here = (here if f == feed else None), File()
+                feed, at = f, n
+            here.add(track, payload)
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in out], _ROW)
+            out.clear()
+    close()
+    if out:
+        yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in out], _ROW)
+
+
+def found(dumps: DataFrame) -> DataFrame:
+    rows = dumps.select("feed_id", dumps.batch_no.cast("int").alias("batch_no"), "track_ref", "payload").filter("feed_id is not null and batch_no is not null")
+    files = rows.repartition("feed_id").sortWithinPartitions("feed_id", "batch_no")
+    return files.mapInArrow(_compare, "feed_id string, batch_no int, change_kind string, frame_id string, new_frame_id string")

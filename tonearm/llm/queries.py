@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import mixing, tokens
+from tonearm.llm import drift, mixing, residue, tokens
 from tonearm.shared import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.found(table(spark, d, "tag_dumps"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -27,8 +31,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mixture(docs, targets), docs, targets)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(table(spark, d, "documents"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.clean(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p6_use, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p3_found, p6_ids, p6_use, p7_mix, p7_shares, p8_found, p8_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
