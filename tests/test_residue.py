@@ -1,0 +1,23 @@
+import time
+
+from tonearm.llm import residue
+
+
+def test_mention_needs_to_be_near_the_placeholder():
+    assert residue.unfilled("Dear {{first_name}}, the manual for order {{order_id}} is attached.")
+    assert residue.unfilled("I saw {{agent_name}} about the form.")
+    assert not residue.unfilled("Does anyone know what {{first_name}} stands for in the old preset?")
+    assert not residue.unfilled("The greeting came out as {{first_name}} for three of our members.")
+    assert not residue.unfilled('Someone on the list saw "{{first_name}}" in our last mailing.')
+
+
+def test_long_placeholders():
+    name = "customer_" * 12 + "name"
+    assert residue.unfilled("Dear {{" + name + "}}, hello.")
+    assert residue.unfilled("[INSERT " + "the long name " * 10 + "of the customer]")
+
+
+def test_long_words_end():
+    start = time.monotonic()
+    assert not residue.unfilled("see $name" + "_part" * 400 + " {name" + "name_" * 400)
+    assert time.monotonic() - start < 2

@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices in mail (problem 8).
 
 Each message becomes its sender's own words (tonearm.llm.mail) and then sentences. A sentence with an unfilled
-placeholder is residue unless it quotes the placeholder or speaks about templates. Sentences that are, as a whole,
+placeholder is residue unless each is quoted or stands directly by words that speak about it. Sentences that are, as a whole,
 filler, an error message or a script notice are residue if such sentences make up at least half of the body.
 
 Bodies are also hashed with numbers, addresses, dates and placeholders masked, and the hashes are counted over the
@@ -26,15 +26,46 @@ from tonearm.llm.mail import own
 
 #: Words that name a value to be filled in.
 FIELDS = "name|names|nombre|prenom|vorname|nachname|nom|firstname|lastname|fname|lname|customer|client|user|member|recipient|company|firma|address|street|city|ville|ciudad|stadt|ort|country|branch|room|date|datum|fecha|day|time|year|due|price|amount|total|sum|betrag|montant|importe|order|orderno|ref|reference|number|no|id|item|items|list|album|artist|product|title|agent|owner|contact|signature|team|link|url|website|email|mail|phone|code|password|tracking|ship|shipping|job|position|department|your|insert|here|placeholder|value|text|subject"
-_FIELD = rf"(?:[\w]+[ ._-])*(?:{FIELDS})(?:[ ._-]?\w+)*"
-_NAME = r"\s*[A-Za-z_][\w .\-|:]{0,40}?\s*"
+# Every part of these patterns can match in one way only: a repeated group with an optional separator never ends on long words.
+_NAME = r"\s*[A-Za-z_][\w\s.\-|:]*"
 STRONG = re.compile(
-    rf"\{{\{{\{{{_NAME}\}}\}}\}}|\{{\{{{_NAME}\}}\}}|\{{%[^%\n]{{1,60}}%\}}|<%=?[^%\n]{{1,60}}%>|[$#]\{{{_NAME}\}}|@@{_NAME}@@|\[\[{_NAME}\]\]|<<{_NAME}>>|\*\|{_NAME}\|\*|%%{_NAME}%%"
-    r"|\[(?:INSERT|Insert|ENTER|Enter|ADD|FILL)\s[^\]\n]{1,40}\]|\[[^\]\n]{1,40} (?:einsetzen|eintragen|einfügen|hier|here|aquí|ici)\]|\[(?:insérer|insertar|indiquer|indicar) [^\]\n]{1,40}\]"
-    r"|\([\w. ]{1,40} (?:TBC|TBD|TBA|to be confirmed|to be added)(?: BY \w+)?\)|<[\w. ]{1,40} here>|&lt;[\w. ]{1,40}&gt;"
+    rf"\{{\{{\{{{_NAME}\}}\}}\}}|\{{\{{{_NAME}\}}\}}|\{{%[^%\n]+%\}}|<%=?[^%\n]+%>|[$#]\{{{_NAME}\}}|@@{_NAME}@@|\[\[{_NAME}\]\]|<<{_NAME}>>|\*\|{_NAME}\|\*|%%{_NAME}%%"
+    r"|\[(?:INSERT|Insert|ENTER|Enter|ADD|FILL)\s[^\[\]\n]+\]|\[[^\[\]\n]+ (?:einsetzen|eintragen|einfügen|hier|here|aquí|ici)\]|\[(?:insérer|insertar|indiquer|indicar) [^\[\]\n]+\]"
+    r"|\([\w. ]+ (?:TBC|TBD|TBA|to be confirmed|to be added)(?: BY \w+)?\)|<[\w. ]+ here>|&lt;[\w. ]+&gt;"
 )
-WEAK = re.compile(rf"(?<![\w$])(?:\{{{_FIELD}\}}|%{_FIELD}%|\[{_FIELD}\]|<{_FIELD}>|~{_FIELD}~|\$[\w.]*(?:{FIELDS})[\w.]*\$|\${_FIELD}\$|__{_FIELD}__|«{_FIELD}»)(?!\w)", re.I)
-MENTION = re.compile(r"template|vorlage|mod[eè]le|modelo|plantilla|preset|pattern|script|manual|placeholder|platzhalter|variable|syntax|stands? for|came out|comes? out as|someone|saw |mailing|into the text|has to become|is replaced|program fills|field code|the form |export ", re.I)
+_OPEN = r"[\w .-]+"
+_WEAK = re.compile(rf"(?<![\w$])(?:\{{({_OPEN})\}}|%({_OPEN})%|\[({_OPEN})\]|<({_OPEN})>|~({_OPEN})~|\$([\w.]+)\$|\$({_OPEN})\$|__({_OPEN})__|«({_OPEN})»)(?!\w)")
+_HOLDS = re.compile(rf"(?:^|[ ._-])(?:{FIELDS})", re.I)
+_HOLDS_INSIDE = re.compile(FIELDS, re.I)
+
+
+class WEAK:
+    """Marks that are placeholders only around a word that names a value."""
+
+    @staticmethod
+    def holds(m: re.Match) -> bool:
+        return bool(_HOLDS_INSIDE.search(m[6]) if m[6] else _HOLDS.search(m[m.lastindex]))
+
+    @classmethod
+    def finditer(cls, text: str) -> Iterator[re.Match]:
+        return (m for m in _WEAK.finditer(text) if cls.holds(m))
+
+    @classmethod
+    def sub(cls, mark: str, text: str) -> str:
+        return _WEAK.sub(lambda m: mark if cls.holds(m) else m[0], text)
+
+
+#: What stands directly before or after a placeholder that is spoken about.
+_THING = r"template|vorlage|mod[eè]le|modelo|plantilla|preset|pattern|script|manual|form"
+_MARK = r"placeholder|platzhalter|variable|marcador|espace réservé|syntax|field code|field"
+MENTION_BEFORE = re.compile(
+    rf"(?:\b(?:came|comes?|shows? up|printed|appears?) (?:out )?as|\b(?:calls?|runs?|starts?|invokes?) [^,;]{{0,30}}\bwith|\b(?:{_MARK})s?(?: (?:is|called|named|like|namens))?"
+    rf"|\b(?:{_THING})s?\b(?: \w+){{0,2}} (?:contains?|says?|uses?|reads?|shows?|calls?)|\b(?:template|preset|pattern)s?\b(?: \w+){{0,3}} is|\bvorlage (?:steht|enthält)(?: \w+)?|\b(?:{_THING}) (?:contient|contiene|dice|dit|utilise|usa)|\bhas to become|\bknow what|\bmeaning of)[ :]*$",
+    re.I,
+)
+MENTION_AFTER = re.compile(rf"\s*(?:stands? for|means?\b|has to become|is (?:then )?replaced|gets? replaced|into the (?:text|template|body|form)|is (?:a|the|our) (?:{_MARK})|in (?:the|our|my|this) (?:\w+ )?(?:template|vorlage|preset|mailing)\b)", re.I)
+#: Words between the placeholders of one list or pattern, and the placeholders themselves.
+_LINKS = re.compile(r"|[-–/|&+]|and|or|und|oder|et|ou|y|o|[^\s,]*[{}%<>$\[\]][^\s,]*")
 _QUOTES = "\"'“”„«»‘’‹›`"
 
 #: Words of the usual filler text.
@@ -79,11 +110,23 @@ def sentences(body: str) -> list[str]:
 
 def unfilled(sentence: str) -> bool:
     """Whether a placeholder stands in it for a value, not for itself."""
-    hits = [m for m in (*STRONG.finditer(sentence), *WEAK.finditer(sentence))]
-    if not hits or MENTION.search(sentence):
+    hits = list(STRONG.finditer(sentence))
+    hits += [m for m in WEAK.finditer(sentence) if not any(s.start() <= m.start() < s.end() for s in hits)]
+    if not hits:
         return False
-    around = lambda m: sentence[max(0, m.start() - 2) : m.start()].strip()[-1:] + sentence[m.end() : m.end() + 2].strip()[:1]
-    return any(not (len(around(m)) == 2 and around(m)[0] in _QUOTES and around(m)[1] in _QUOTES) for m in hits)
+
+    def mentioned(m: re.Match) -> bool:
+        before, after = sentence[max(0, m.start() - 2) : m.start()].strip()[-1:], sentence[m.end() : m.end() + 2].strip()[:1]
+        if before and after and before in _QUOTES and after in _QUOTES:
+            return True
+        words, next_ = sentence[max(0, m.start() - 80) : m.start()].split(" "), sentence[m.end() : m.end() + 80].split(" ")
+        while words and _LINKS.fullmatch(words[-1]):
+            words.pop()
+        while len(next_) > 1 and _LINKS.fullmatch(next_[0]):
+            next_.pop(0)
+        return bool(MENTION_BEFORE.search(" ".join(words)) or MENTION_AFTER.match(" ".join(next_)))
+
+    return not all(mentioned(m) for m in hits)
 
 
 def kind(sentence: str) -> str:
