@@ -24,12 +24,16 @@ _BREAK = re.compile(r"<(?:br|/p|/div|/li|/tr|/h\d|hr)\b[^>]*>\n?", re.I)
 _TAG = re.compile(r"<!?/?[a-z][^<>]*>|<!--.*?-->", re.I | re.S)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 #: A line that starts an unmarked quotation of everything below it.
-_CUT = re.compile(r"^\s*-{3,} ?[^-\n]{3,60}? ?-{3,}\s*$")
+_CUT = re.compile(r"^\s*-{3,} ?(?=[^-\n]*(?:original|forward|message|mail\b|nachricht|weitergeleitet|ursprünglich|transféré|mensaje|reenviado|messaggio|inoltrato|mensagem|encaminhada))[^-\n]{3,60}? ?-{3,}\s*$", re.I)
 #: A line that introduces marked lines: it ends in a colon and holds a date or an address.
 _SAYS = re.compile(r"^.{0,300}(?:\d.*|@.*):\s*$")
 _QUOTED = re.compile(r"^\s*(?:[>|]|&gt;)")
 _SIGNATURE = re.compile(r"^-- ?$")
 _FOOTER = re.compile(r"^(?:_{5,}|={5,}|\*{5,}|-{20,})\s*$")
+#: What the lines below a divider say if it starts the footer of a list.
+_LIST = re.compile(r"mailing.?list|listinfo|list-|unsubscribe|to leave, write|you get this because|you (?:are|were) (?:receiving|subscribed)|abmelden|mailingliste|désabonner|liste de diffusion|darse de baja|lista de (?:correo|distribución|discussão)|@lists\.|options: ", re.I)
+#: What a notice to the addressee says besides its opening.
+_DISCLAIMS = re.compile(r"confiden[tc]ial|confidentiel|vertraulich|riservat|privileged|addressee|intended (?:only )?(?:for|recipient)|recipient|destinat|empfänger|irrläufer|legally|liab|haftung|in error\b|viruse?s?\b", re.I)
 #: How notices to the addressee begin, in the languages of mail programs.
 NOTICES = ("This message and its attachments", "This e-mail", "This email", "The information in this", "Diese Nachricht", "Diese E-Mail", "Ce message", "Este mensaje", "Esta mensagem", "Questo messaggio")
 
@@ -99,13 +103,22 @@ def own(text: str | None) -> str:
         lines = (plain(part) if mime == "text/html" else part).split("\n")
         quoted = [bool(_QUOTED.match(x)) for x in lines]
         out: list[str] = []
+        skipped = 0
         for k, line in enumerate(lines):
-            if quoted[k]:
+            if quoted[k] or k < skipped:
                 continue
-            if _CUT.match(line) or _SIGNATURE.match(line) or (_FOOTER.match(line) and k):
+            if _CUT.match(line) or _SIGNATURE.match(line):
                 break
+            if _FOOTER.match(line) and k:
+                below = [x for x in lines[k + 1 : k + 8] if x.strip()]
+                if not below or _LIST.search("\n".join(below[:3])):
+                    break
+                continue
             if line.startswith(NOTICES):
-                break
+                end = next((j for j in range(k, len(lines)) if not lines[j].strip()), len(lines))
+                if _DISCLAIMS.search(" ".join(lines[k:end])):
+                    skipped = end
+                    continue
             follows = next((j for j in range(k + 1, min(k + 4, len(lines))) if lines[j].strip()), None)
             if follows is not None and quoted[follows] and (_SAYS.match(line) or _SAYS.match(line + " " + lines[k + 1]) and k + 1 < len(lines)):
                 continue
