@@ -21,3 +21,20 @@ def test_long_words_end():
     start = time.monotonic()
     assert not residue.unfilled("see $name" + "_part" * 400 + " {name" + "name_" * 400)
     assert time.monotonic() - start < 2
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, source string, message_ref string, text string")
+
+
+def test_groups_count_all_bodies(spark):
+    notice = "We are sorry.\n\nYour request {} was blocked for now, come back later."
+    rows = [(1, "a", "m1", notice.format(11)), (2, "a", "m2", notice.format(22))]  
+    rows += [(8, "b", "m8", notice.format(33))]
+    rows += [(3, "b", "m3", "The shelf was blocked again by the big box."), (4, "b", "m3", "The shelf was blocked again by the big box.")]  # delivered again
+    rows += [(5, "c", None, "Dear {{name}}, hello."), (6, "c", None, "An ordinary note about the box."), (7, None, None, None)]
+    docs = _docs(spark, rows)
+    got = {r.doc_id: r.kind for r in residue.judged(docs).collect()}
+    assert got == {8: "recurring", 1: "recurring", 2: "recurring", 3: None, 4: None, 5: "placeholder", 6: None, 7: None}
+    assert {r.doc_id for r in residue.found(docs).collect()} == {1, 2, 5, 8}
+    assert {r.doc_id for r in residue.clean(docs).collect()} == {3, 4, 6, 7}
