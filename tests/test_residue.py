@@ -29,12 +29,18 @@ def _docs(spark, rows):
 
 def test_groups_count_all_bodies(spark):
     notice = "We are sorry.\n\nYour request {} was blocked for now, come back later."
-    rows = [(1, "a", "m1", notice.format(11)), (2, "a", "m2", notice.format(22))]  
-    rows += [(8, "b", "m8", notice.format(33))]
+    rows = [(1, "a", "m1", notice.format(11)), (2, "a", "m2", notice.format(22))]  # one source, two messages
     rows += [(3, "b", "m3", "The shelf was blocked again by the big box."), (4, "b", "m3", "The shelf was blocked again by the big box.")]  # delivered again
     rows += [(5, "c", None, "Dear {{name}}, hello."), (6, "c", None, "An ordinary note about the box."), (7, None, None, None)]
     docs = _docs(spark, rows)
     got = {r.doc_id: r.kind for r in residue.judged(docs).collect()}
-    assert got == {8: "recurring", 1: "recurring", 2: "recurring", 3: None, 4: None, 5: "placeholder", 6: None, 7: None}
-    assert {r.doc_id for r in residue.found(docs).collect()} == {1, 2, 5, 8}
+    assert got == {1: "recurring", 2: "recurring", 3: None, 4: None, 5: "placeholder", 6: None, 7: None}
+    assert {r.doc_id for r in residue.found(docs).collect()} == {1, 2, 5}
     assert {r.doc_id for r in residue.clean(docs).collect()} == {3, 4, 6, 7}
+
+
+def test_recurrence_is_a_share_of_the_bodies(spark):
+    notice = "We are sorry.\n\nYour request {} was blocked for now, come back later."
+    docs = _docs(spark, [(k, "a", f"m{k}", notice.format(k)) for k in (11, 22)] + [(k, "a", f"m{k}", "A note on the box " + chr(96 + k)) for k in range(1, 9)])
+    assert {r.doc_id for r in residue.judged(docs).filter("kind = 'recurring'").collect()} == {11, 22}
+    assert residue.judged(docs, rate=0.5).filter("kind is not null").count() == 0

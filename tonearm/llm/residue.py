@@ -7,7 +7,8 @@ filler, an error message or a script notice are residue if such sentences make u
 All bodies are hashed with numbers, addresses, dates and placeholders masked, and the hashes are counted over the
 corpus. A group of equal hashes, groups of one included, is classified by the rules above; a group that no rule knows
 is residue if it recurs, isn't a letter (no greeting or farewell), and holds one of the wider phrases of its kind.
-Recurring means ``min_copies`` messages from two sources or more. At last each message of a group must pass the rules itself.
+Recurring means two messages or more, whatever their sources, and at least ``rate`` of all bodies; copies of one message
+that were delivered again count once. At last each message of a group must pass the rules itself.
 
 Null, empty and blank texts, and mails that only quote, are no cases. Whole texts are read, whatever their length.
 Repeated rows give one doc_id. Null sources count as one source.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from tonearm.llm.mail import own
 from tonearm.shared import cut
 
+#: Least share of all bodies that a recurring body has.
+RATE = 2e-5
 
 #: Words that name a value to be filled in.
 FIELDS = "name|names|nombre|prenom|vorname|nachname|nom|firstname|lastname|fname|lname|customer|client|user|member|recipient|company|firma|address|street|city|ville|ciudad|stadt|ort|country|branch|room|date|datum|fecha|day|time|year|due|price|amount|total|sum|betrag|montant|importe|order|orderno|ref|reference|number|no|id|item|items|list|album|artist|product|title|agent|owner|contact|signature|team|link|url|website|email|mail|phone|code|password|tracking|ship|shipping|job|position|department|your|insert|here|placeholder|value|text|subject"
@@ -175,16 +178,17 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("message"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "source", "message", "rule", "wider", "body_hash"])
 
 
-def judged(docs: DataFrame, min_copies: int = 3) -> DataFrame:
+def judged(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, source, kind (null for ordinary mail) and body_hash of every document."""
     key = F.col("doc_id").cast("string")
     message = F.coalesce("message_ref", key) if "message_ref" in docs.columns else key
     texts = docs.select("doc_id", "source", message.alias("message"), "text")
     rows = cut(texts.mapInArrow(_judge, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, message string, rule string, wider boolean, body_hash bigint"))
     bodies = rows.filter("body_hash is not null")
-    groups = bodies.groupBy("body_hash").agg(F.countDistinct("message").alias("n"), F.max("rule").alias("group_rule"), F.max("wider").alias("group_wider"), (F.min(F.coalesce("source", F.lit(""))) != F.max(F.coalesce("source", F.lit("")))).alias("across"))
-    recurs = F.col("group_wider") & (F.col("n") >= min_copies) & F.col("across")
-    classed = groups.select("body_hash", F.when(F.col("group_rule").isNotNull(), F.col("group_rule")).when(recurs, F.lit("recurring")).alias("class"), recurs.alias("recurs")).filter("class is not null")
+    groups = bodies.groupBy("body_hash").agg(F.countDistinct("message").alias("n"), F.max("rule").alias("group_rule"), F.max("wider").alias("group_wider"))
+    least = bodies.agg(F.greatest(F.lit(2), F.ceil(F.count("*") * F.lit(rate))).alias("least"))
+    recurs = F.col("group_wider") & (F.col("n") >= F.col("least"))
+    classed = groups.crossJoin(F.broadcast(least)).select("body_hash", F.when(F.col("group_rule").isNotNull(), F.col("group_rule")).when(recurs, F.lit("recurring")).alias("class"), recurs.alias("recurs")).filter("class is not null")
     checked = F.when(F.col("class").isNotNull() & F.col("rule").isNotNull(), F.col("rule")).when(F.col("recurs") & F.col("wider"), F.lit("recurring"))
     known = bodies.join(classed, "body_hash", "left").select("doc_id", "source", checked.alias("kind"), "body_hash")
     return known.unionByName(rows.filter("body_hash is null").select("doc_id", "source", F.lit(None).cast("string").alias("kind"), "body_hash"))
