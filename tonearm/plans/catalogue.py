@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tonearm.operators import loudness
+from tonearm.shared import table
+
+#: Frames of a loudness window: 50 ms of the events' stream at 200 frames a second.
+WINDOW_FRAMES = 10
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """The events as mono streams: user_id, frame_idx and sample (FIXTURES.md)."""
+    frame = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return table(spark, d, "events").select("user_id", frame.alias("frame_idx"), (F.round(F.col("value") * 100).cast("bigint") - 24500).alias("sample"))
+
+
+def gain_percentile(spark: SparkSession, d: str) -> DataFrame:
+    return loudness.gain_percentile(samples(spark, d), "user_id", WINDOW_FRAMES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (gain_percentile,)}
 
 
 def oracle_sql() -> dict[str, str]:
