@@ -1,0 +1,11 @@
+from tonearm.llm import tokens
+
+
+def test_long_path_gives_the_direct_ids(spark):
+    texts = {1: "x" * 500 + "ab" * 300, 2: "Some words, " * 60 + "y1z" * 50 + "   \n\n  end", 3: "é漢字" * 150, 4: "=" * 333 + " tail", 5: "short", 6: "", 7: None, 8: " " * 300 + "a"}
+    df = spark.createDataFrame(list(texts.items()) + [(1, texts[1])], "doc_id bigint, text string")
+    rows = tokens.encode(df, block_chars=32).collect()
+    c = tokens.codec()
+    assert len(rows) == 9
+    for r in rows:
+        assert r.ids == c.encode(texts[r.doc_id] or "")
