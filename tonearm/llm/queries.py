@@ -6,10 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import drift, mixing, residue, tokens
+from tonearm.llm import drift, encodings, mixing, plainform, residue, tokens, truncation
 from tonearm.shared import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.found(table(spark, d, "tracks"))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.repaired(table(spark, d, "tracks"))
+
+
+def _damaged(tracks: DataFrame) -> DataFrame:
+    """Cells of problems 1 and 5; a cell has one kind of damage at most."""
+    return encodings.found(tracks).union(plainform.found(tracks)).distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    tracks = table(spark, d, "tracks")
+    return truncation.found(tracks, _damaged(tracks))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    tracks = table(spark, d, "tracks")
+    return truncation.shares(tracks, _damaged(tracks))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    tracks = table(spark, d, "tracks")
+    return plainform.found(tracks, encodings.found(tracks, plainform.FIELDS))
+
+
+def p5_unified(spark: SparkSession, d: str) -> DataFrame:
+    return plainform.unified(table(spark, d, "tracks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.found(table(spark, d, "tag_dumps"))
 
@@ -40,7 +72,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p6_ids, p6_use, p7_mix, p7_shares, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p4_found, p4_shares, p5_found, p5_unified, p6_ids, p6_use, p7_mix, p7_shares, p8_found, p8_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
