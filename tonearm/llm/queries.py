@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import drift, encodings, mixing, plainform, residue, tokens, truncation
+from tonearm.llm import drift, encodings, mixing, names, plainform, residue, tokens, truncation
 from tonearm.shared import table
 
 
@@ -18,6 +18,19 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return encodings.repaired(table(spark, d, "tracks"))
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    tracks = table(spark, d, "tracks")
+    return names.names_of(tracks, damaged=_damaged(tracks))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(_names(spark, d))
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(_names(spark, d))
+
+
 def _damaged(tracks: DataFrame) -> DataFrame:
     """Cells of problems 1 and 5; a cell has one kind of damage at most."""
     return encodings.found(tracks).union(plainform.found(tracks)).distinct()
@@ -72,7 +85,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p4_found, p4_shares, p5_found, p5_unified, p6_ids, p6_use, p7_mix, p7_shares, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p4_found, p4_shares, p5_found, p5_unified, p6_ids, p6_use, p7_mix, p7_shares, p8_found, p8_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
