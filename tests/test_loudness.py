@@ -4,7 +4,7 @@ from collections import Counter
 import __spark_entry__
 import pytest
 from tonearm.operators import loudness
-from tonearm.plans import catalogue
+from tonearm.plans import streams as plans
 
 
 def _plain(samples, w):
@@ -24,10 +24,10 @@ def test_gain_of_the_entry(spark):
     assert "gain_percentile" in __spark_entry__.queries()
     d = "/root/testdata/sf0.001"
     streams = {}
-    for r in sorted(catalogue.samples(spark, d).collect()):
+    for r in sorted(plans.samples(spark, d).collect()):
         streams.setdefault(r.user_id, []).append(r.sample)
     got = {r.user_id: r.gain_db for r in __spark_entry__.entry(spark).collect()}
-    assert got == pytest.approx({u: _plain(x, catalogue.WINDOW_FRAMES) for u, x in streams.items()})
+    assert got == pytest.approx({u: _plain(x, plans.WINDOW_FRAMES) for u, x in streams.items()})
 
 
 def test_twenty_windows_and_none(spark):

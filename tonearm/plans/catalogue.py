@@ -4,29 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.operators import loudness
+from tonearm.operators import drift
+from tonearm.plans import discs, library, streams
 from tonearm.shared import table
 
-#: Frames of a loudness window: 50 ms of the events' stream at 200 frames a second.
-WINDOW_FRAMES = 10
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "tag_dumps"))
 
-def samples(spark: SparkSession, d: str) -> DataFrame:
-    """The events as mono streams: user_id, frame_idx and sample (FIXTURES.md)."""
-    frame = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return table(spark, d, "events").select("user_id", frame.alias("frame_idx"), (F.round(F.col("value") * 100).cast("bigint") - 24500).alias("sample"))
 
+def p3_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return drift.scripts(table(spark, d, "tag_dumps"))
 
-def gain_percentile(spark: SparkSession, d: str) -> DataFrame:
-    return loudness.gain_percentile(samples(spark, d), "user_id", WINDOW_FRAMES)
+
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent(table(spark, d, "tag_dumps"))
+
+
+#: Queries of the core that SQL cannot express; they have tests of their own.
+WITHOUT_SQL: frozenset[str] = frozenset()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (gain_percentile,)}
+    own = {f.__name__: f for f in (p3_found, p3_scripts, p3_table)}
+    return own | streams.QUERIES | library.QUERIES | discs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return streams.SQL | library.SQL | discs.SQL

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -22,20 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="tonearm-")
-        spark.sparkContext.setCheckpointDir(_FALLBACK[app])
-    return _FALLBACK[app]
+    sc = spark.sparkContext
+    if own := sc.getCheckpointDir():
+        return own.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _FALLBACK:
+        _FALLBACK[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tonearm-")
+        sc.setCheckpointDir(_FALLBACK[sc.applicationId])
+    return _FALLBACK[sc.applicationId]
 
 
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the plan is cut, and a lost executor costs nothing.
 
-    The files live as long as this Python process.
+    The files live in a folder named after the application, as long as this Python process or until ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tonearm-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tonearm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -44,7 +48,8 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def _sweep() -> None:
+def release() -> None:
+    """Deletes what ``cut`` has written; frames built on it can't be read any more."""
     for spark, path in _WRITTEN:
         try:
             jvm = spark.sparkContext._jvm
@@ -55,14 +60,4 @@ def _sweep() -> None:
     _WRITTEN.clear()
 
 
-atexit.register(_sweep)
-
-
-def width(spark: SparkSession) -> int:
-    """Tasks that fill the cluster twice over, for stages whose input bytes say little about their CPU work."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-
-
-def salt(n: int, *keys: Column) -> Column:
-    """A stable bucket in [0, n) from the given columns; repeatable when a task is run again."""
-    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+atexit.register(release)
