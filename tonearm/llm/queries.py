@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import drift, encodings, mixing, names, plainform, residue, tokens, truncation
+from tonearm.llm import encodings, mixing, names, plainform, residue, tokens, truncation
 from tonearm.shared import table
 
 
@@ -55,10 +55,6 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return plainform.unified(table(spark, d, "tracks"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.found(table(spark, d, "tag_dumps"))
-
-
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -85,7 +81,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p4_found, p4_shares, p5_found, p5_unified, p6_ids, p6_use, p7_mix, p7_shares, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_entities, p4_found, p4_shares, p5_found, p5_unified, p6_ids, p6_use, p7_mix, p7_shares, p8_found, p8_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
