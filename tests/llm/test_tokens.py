@@ -9,3 +9,13 @@ def test_long_path_gives_the_direct_ids(spark):
     assert len(rows) == 9
     for r in rows:
         assert r.ids == c.encode(texts[r.doc_id] or "")
+
+
+def test_vocabulary_use(spark):
+    texts = ["a b a", "a", "", None, "xyz " * 40, "a b a"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    c = tokens.codec()
+    ids = [c.encode(t) for t in texts if t]
+    want = {t: (sum(x.count(t) for x in ids), sum(t in x for x in ids)) for x in ids for t in x}
+    for block in (16, 1000):
+        assert {r.token_id: (r.occurrences, r.documents) for r in tokens.vocabulary_use(df, block_chars=block).collect()} == want

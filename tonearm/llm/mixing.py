@@ -5,10 +5,12 @@ at most ``max_repeats`` copies of any document (shares are scaled up to add to 1
 its documents in a fixed random order, pass after pass; the pass that would overshoot ends with the document that
 brings the source nearest to its quota.
 
-Each source's stream is cut into blocks of ``block_tokens``. Weights are rounded to whole numbers of ``period`` slots;
-block i of a source with weight w is released at slot floor((i-1)/w) and due at ceil(i/w), and each slot goes to the
+Each source's stream is cut into blocks of ``block_tokens``; a document belongs to the block in which it starts, and
+may be longer than one. Weights are rounded to whole numbers of ``period`` slots, of which the smallest source gets
+``LEAST`` unless that takes more than ``LONGEST`` slots (then it gets one at least, which moves the order, never the
+shares); block i of a source with weight w is released at slot floor((i-1)/w) and due at ceil(i/w), and each slot goes to the
 released block with the earliest deadline. The schedule repeats after ``period`` slots, so one period is planned on
-the driver (``period`` rows, whatever the size of the data) and every block finds its slot by arithmetic and a join.
+the driver (``LONGEST`` rows at most, whatever the size of the data) and every block finds its slot by arithmetic and a join.
 
 Null sources never match a target. Sources that aren't listed, and listed ones with a share of 0 or no repeats, give
 nothing. Documents without tokens ride along in the block of their place. Repeated rows are documents of their own.
@@ -18,6 +20,7 @@ Without documents or targets, the mixture is empty.
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from tonearm.llm.tokens import encode
 from tonearm.shared import cut
 
-PERIOD = 4096
+BLOCK_TOKENS = 16384
+PERIOD, LONGEST, LEAST = 4096, 1 << 18, 8
 ROWS_PER_BUCKET = 20_000
 
 
@@ -57,13 +61,16 @@ def pfair(weights: dict[str, int]) -> list[tuple[str, int]]:
 
 def whole_weights(shares: dict[str, float], period: int) -> dict[str, int]:
     """Shares as whole numbers that add up to ``period``; every source keeps at least one slot."""
-    exact = {s: Fraction(x).limit_denominator(10**9) * period for s, x in shares.items()}
+    exact = {s: Fraction(x) * period for s, x in shares.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
     for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s)):
         if sum(out.values()) < period:
             out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s], s))] -= 1
+    over = sum(out.values()) - period
+    for s in sorted(out, key=lambda s: (-out[s], s)):  # what the lifted ones have too many comes off the largest
+        less = min(over, out[s] - max(1, out[s] // 2))
+        out[s] -= less
+        over -= less
     return out
 
 
@@ -74,15 +81,20 @@ def sized(docs: DataFrame, targets: DataFrame, **options) -> DataFrame:
     return encode(listed, keep=("source",), count_only=True, **options)
 
 
-def mixture(docs: DataFrame, targets: DataFrame, block_tokens: int | None = None, period: int = PERIOD, seed: int = 42, sizes: DataFrame | None = None) -> DataFrame:
+def period_of(shares: dict[str, float]) -> int:
+    """Slots of a period, enough for ``LEAST`` of the smallest source."""
+    wanted = max(PERIOD, LEAST * len(shares), math.ceil(LEAST / min(shares.values())))
+    return max(len(shares), min(LONGEST, wanted))
+
+
+def mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, period: int | None = None, seed: int = 42, sizes: DataFrame | None = None) -> DataFrame:
     """source, doc_id, repeat_no (from 1), n_tokens, start_token (in the source's stream), block_no and slot.
 
-    Reading by (slot, source, start_token) gives the interleaved order. ``block_tokens`` is the largest document's
-    size unless given. Targets are a small table by definition: one row per source.
+    Reading by (slot, source, start_token) gives the interleaved order. Targets are a small table by definition: one row per source.
     """
     spark = docs.sparkSession
     sizes = cut(sizes if sizes is not None else sized(docs, targets)).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    per_source = {r["source"]: r for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.max("n_tokens").alias("most"), F.count("*").alias("docs")).collect()}
+    per_source = {r["source"]: r for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("docs")).collect()}
     goal = {r["source"]: r for r in targets.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats")).collect()}
     here = sorted(s for s, r in per_source.items() if r["size"] > 0)
     schema = "source string, doc_id bigint, repeat_no int, n_tokens bigint, start_token bigint, block_no bigint, slot bigint"
@@ -91,8 +103,7 @@ def mixture(docs: DataFrame, targets: DataFrame, block_tokens: int | None = None
     scale = sum(goal[s]["share"] for s in here)
     share = {s: goal[s]["share"] / scale for s in here}
     total = min(goal[s]["repeats"] * per_source[s]["size"] / share[s] for s in here)
-    block = block_tokens or max(r["most"] for r in per_source.values())
-    weights = whole_weights(share, max(period, len(here)))
+    weights = whole_weights(share, period or period_of(share))
     slots = [(s, i, t) for t, (s, i) in enumerate(pfair(weights))]
 
     n_buckets = max(1, sum(r["docs"] for r in per_source.values()) // ROWS_PER_BUCKET)
@@ -106,7 +117,7 @@ def mixture(docs: DataFrame, targets: DataFrame, block_tokens: int | None = None
     placed = rows.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, ["source", "bucket"]).withColumn("at", F.col("base") + F.col("upto") - F.col("n_tokens"))
     copies = placed.join(F.broadcast(plan), "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.least(F.col("repeats"), F.ceil(F.col("quota") / F.col("size")).cast("int")))))
     copies = copies.withColumn("start_token", (F.col("repeat_no") - 1) * F.col("size") + F.col("at")).filter(F.col("start_token") + F.col("n_tokens") / 2 <= F.col("quota"))
-    blocked = copies.withColumn("block_no", F.floor(F.col("start_token") / F.lit(block))).withColumn("in_period", (F.col("block_no") % F.col("weight")).cast("int"))
+    blocked = copies.withColumn("block_no", F.floor(F.col("start_token") / F.lit(block_tokens))).withColumn("in_period", (F.col("block_no") % F.col("weight")).cast("int"))
     timetable = spark.createDataFrame(slots, "source string, in_period int, t int")
     timed = blocked.join(F.broadcast(timetable), ["source", "in_period"])
     slot = F.floor(F.col("block_no") / F.col("weight")) * F.lit(len(slots)) + F.col("t")

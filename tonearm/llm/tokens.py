@@ -196,8 +196,31 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = T
     return short.unionByName(long).toDF(key, *keep, name)
 
 
-def vocabulary_use(df: DataFrame, text: str = "text", path: str = TOKENIZER) -> DataFrame:
-    """Corpus statistics: occurrences and documents per token id, for budget planning."""
-    ids = encode(df, key="doc_id", text=text, path=path)
-    per = ids.select("doc_id", F.explode("ids").alias("token_id")).groupBy("doc_id", "token_id").agg(F.count("*").alias("n"))
-    return per.groupBy("token_id").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+def _used(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of a task's texts by token: one row for each token of the vocabulary at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        size = max(c.bytes_of) + 1
+        uses, docs = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                if t := text.as_py():
+                    ids, n = np.unique(c.array(t), return_counts=True)
+                    uses[ids] += n
+                    docs[ids] += 1
+        at = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(uses[at]), pa.array(docs[at])], ["token_id", "occurrences", "documents"])
+
+    return run
+
+
+def vocabulary_use(df: DataFrame, text: str = "text", path: str = TOKENIZER, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Corpus statistics: occurrences and documents per token id. What is shuffled is a vocabulary for each task."""
+    is_long = F.coalesce(F.length(text) > block_chars, F.lit(False))
+    short = df.filter(~is_long).select(text).mapInArrow(_used(path), "token_id int, occurrences bigint, documents bigint")
+    numbered = df.filter(is_long).select(F.monotonically_increasing_id().alias("n"), text)
+    ids = encode(numbered, key="n", text=text, path=path, block_chars=block_chars)
+    per = ids.select("n", F.explode("ids").alias("token_id")).groupBy("n", "token_id").agg(F.count("*").alias("occurrences"))
+    every = short.unionByName(per.select("token_id", "occurrences", F.lit(1).cast("bigint").alias("documents")))
+    return every.groupBy("token_id").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
