@@ -45,6 +45,12 @@ def test_nested_fields_and_moves(spark):
     assert got == {("renamed", "COM/lang", "COM/lng", 1), ("removed", "N", "", 0), ("added", "COM/n", "", 1), ("moved", "N", "COM/n", 0)}
 
 
+def test_fields_of_a_renamed_frame(spark):
+    rows = [("f", 1, t, {"COM": {"text": f"t{t}", "lang": "x"}}) for t in range(3)] + [("f", 2, t, {"COMM": {"text": f"t{t}"}, "L": "x"}) for t in range(3)]
+    got = {(r.change_kind, r.frame_id, r.new_frame_id) for r in drift.scripts(_dumps(spark, rows)).collect()}
+    assert got == {("renamed", "COM", "COMM"), ("removed", "COM/lang", ""), ("added", "L", ""), ("moved", "COM/lang", "L")}
+
+
 def test_matching_is_cheapest():
     rnd = random.Random(3)
     for n in (1, 2, 4, 6):

@@ -123,8 +123,11 @@ def agreement(a: Node, b: Node) -> tuple[int, int]:
 Edit = tuple[str, tuple[str, ...], tuple[str, ...], str, str]
 
 
-def edits(a: Node, b: Node, path: tuple[str, ...] = ()) -> tuple[float, list[Edit]]:
-    """The cost and the steps (kind, path, new path, old type, new type) of the cheapest script from ``a`` to ``b``."""
+def edits(a: Node, b: Node, was_at: tuple[str, ...] = (), path: tuple[str, ...] = ()) -> tuple[float, list[Edit]]:
+    """The cost and the steps (kind, path, new path, old type, new type) of the cheapest script from ``a`` to ``b``.
+
+    What leaves has its path in the old tree, everything else in the new one, where a parent may have another name.
+    """
     cost, steps = 0.0, []
     for name in sorted(a.fields.keys() & b.fields.keys()):
         x, y = a.fields[name], b.fields[name]
@@ -132,7 +135,7 @@ def edits(a: Node, b: Node, path: tuple[str, ...] = ()) -> tuple[float, list[Edi
         if was and now and not was & now:
             cost += RETYPE
             steps.append(("retyped", (*path, name), (), min(was), min(now)))
-        below, inner = edits(x, y, (*path, name))
+        below, inner = edits(x, y, (*was_at, name), (*path, name))
         cost += below
         steps += inner
     left, came = sorted(a.fields.keys() - b.fields.keys()), sorted(b.fields.keys() - a.fields.keys())
@@ -145,7 +148,7 @@ def edits(a: Node, b: Node, path: tuple[str, ...] = ()) -> tuple[float, list[Edi
             same, of = agreement(x, y)
             table[i][j] = NEVER
             if same and same >= AGREE * of:
-                below, scripts[i, j] = edits(x, y, (*path, new))
+                below, scripts[i, j] = edits(x, y, (*was_at, old), (*path, new))
                 # of two equally good partners, the one with more tracks behind it
                 table[i][j] = NODE * (1 - same / of) + below * 1e-3 + 1e-3 / (1 + same)
         for j in range(len(came), n):
@@ -158,10 +161,10 @@ def edits(a: Node, b: Node, path: tuple[str, ...] = ()) -> tuple[float, list[Edi
     cost += sum(table[i][to[i]] for i in range(n))
     for i, old in enumerate(left):
         if i in partners:
-            steps.append(("renamed", (*path, old), (*path, came[partners[i]]), "", ""))
+            steps.append(("renamed", (*was_at, old), (*path, came[partners[i]]), "", ""))
             steps += scripts[i, partners[i]]
         else:
-            steps.append(("removed", (*path, old), (), "", ""))
+            steps.append(("removed", (*was_at, old), (), "", ""))
     steps += [("added", (*path, new), (), "", "") for j, new in enumerate(came) if j not in partners.values()]
     return cost, steps
 
