@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tonearm.operators import drift
-from tonearm.plans import discs, library, streams
+from tonearm.plans import discs, files, library, streams
 from tonearm.shared import table
 
 
@@ -24,13 +24,13 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Queries of the core that SQL cannot express; they have tests of their own.
-WITHOUT_SQL: frozenset[str] = frozenset()
+WITHOUT_SQL = frozenset(("image_metrics", "recursive_filter", "resample", "predictors"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {f.__name__: f for f in (p3_found, p3_scripts, p3_table)}
-    return own | streams.QUERIES | library.QUERIES | discs.QUERIES
+    return own | streams.QUERIES | library.QUERIES | discs.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return streams.SQL | library.SQL | discs.SQL
+    return streams.SQL | library.SQL | discs.SQL | files.SQL
