@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tonearm.llm.cells import cells
 from tonearm.llm.plainform import lookalikes
-from tonearm.shared import cut
+from tonearm.shared import cut, spread
 
 FIELDS = ("track_name", "album_name", "artist_name")
 #: Encodings that bytes may have been in, and encodings they may have been read as.
@@ -44,6 +44,8 @@ DEPTH = 3
 FIRST_ROUNDS, ROUNDS = 5, 4
 #: Shares to begin with: of a chain of one step, of longer ones.
 BEGIN = (5e-4, 5e-5)
+#: Ways with a posterior below this after the first round are left out of the later ones.
+UNLIKELY = 1e-6
 POOLS = 1 << 12
 SLOTS = 1 << 18
 #: Weight of the whole table's shares within a pool, in values, and the least share of any chain.
@@ -357,6 +359,25 @@ def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("value"), part.column("pools"), *lists], ["value", "pools", "chains", "originals"])
 
 
+def _likely(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ways that any pool gives a posterior of ``UNLIKELY`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                each = _posteriors(part, model)
+                kept = []
+                for of in part.column("pools").to_pylist():
+                    some = [next(each) for _ in of]
+                    most = np.max([post for _, _, post in some], axis=0)
+                    kept.append([w for w, x in zip(some[0][1], most) if x >= UNLIKELY])
+                lists = [pa.array([[w[i] for w in x] for x in kept], pa.list_(pa.string())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("value"), part.column("pools"), *lists], ["value", "pools", "chains", "originals"])
+
+    return run
+
+
 def _judge(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,7 +399,8 @@ def repaired(tracks: DataFrame, fields: tuple[str, ...] = FIELDS, rounds: int =
     source = F.col("tag_source") if "tag_source" in tracks.columns else F.lit(None).cast("string")
     every = cells(tracks.withColumn("tag_source", source), fields).withColumn("pool", F.pmod(F.hash("tag_source", "field_name"), F.lit(POOLS)))
     values = every.groupBy("value").agg(F.collect_set("pool").alias("pools"))
-    ways = cut(values.mapInArrow(_ways, "value string, pools array<int>, chains array<string>, originals array<string>"))
+    ways_schema = "value string, pools array<int>, chains array<string>, originals array<string>"
+    ways = cut(spread(values).mapInArrow(_ways, ways_schema))
     schema = "slot bigint, pool int, chain string, weight double"
 
     def total(df: DataFrame, model: Model | None) -> pa.Table:
@@ -390,8 +412,10 @@ def repaired(tracks: DataFrame, fields: tuple[str, ...] = FIELDS, rounds: int =
     model.begins = True
     for k in range(FIRST_ROUNDS + rounds):
         model.first = k < FIRST_ROUNDS
+        if k == 1:
+            open_ = cut(open_.mapInArrow(_likely(model), ways_schema))
         model = Model().add(fixed).add(total(open_, model))
-    verdicts = ways.filter("size(chains) > 1 or chains[0] <> ''").mapInArrow(_judge(model), "value string, pool int, chain string, original string, posterior double")
+    verdicts = open_.union(certain.filter("chains[0] <> ''")).mapInArrow(_judge(model), "value string, pool int, chain string, original string, posterior double")
     return every.join(verdicts, ["value", "pool"]).select("track_id", "field_name", "value", "chain", F.col("original").alias("repaired"), "posterior")
 
 

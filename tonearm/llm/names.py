@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.llm.cells import cells
-from tonearm.shared import cut
+from tonearm.shared import cut, spread
 
 FIELDS = ("artist_name", "composer_name", "performer_name")
 
@@ -337,7 +337,7 @@ def similar(strings: DataFrame) -> DataFrame:
 
     ``strings`` has the columns block and s.
     """
-    rows = cut(strings.select("block", "s").distinct().mapInArrow(_index, "block string, s string, probe boolean, n int, seg int, piece string").distinct())
+    rows = cut(spread(strings.select("block", "s").distinct()).mapInArrow(_index, "block string, s string, probe boolean, n int, seg int, piece string").distinct())
     indexed, probes = rows.filter("not probe").drop("probe"), rows.filter("probe").drop("probe").withColumnRenamed("s", "t")
     met = indexed.join(probes, ["block", "n", "seg", "piece"]).filter("s <> t").select("block", "s", "t").distinct()
     one = met.mapInArrow(_verified, "block string, s string, t string, edits int")
