@@ -177,7 +177,7 @@ def differences(samples: DataFrame, stream: str, block: int, orders: int = 4) ->
 
 def autocorrelation(samples: DataFrame, stream: str, lags: int) -> DataFrame:
     """stream, lag and the sum of x(i) x(i + lag), for lags from 0."""
-    asked = samples.select(stream, "frame_idx", "sample", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"))
+    asked = samples.select(stream, "frame_idx", "sample", F.explode(_upto(lags + 1)).alias("lag"))
     later = samples.select(stream, F.col("frame_idx").alias("at"), F.col("sample").alias("other"))
     met = asked.withColumn("at", F.col("frame_idx") + F.col("lag")).join(later, [stream, "at"])
     return met.groupBy(stream, "lag").agg(F.sum(F.col("sample") * F.col("other")).alias("r"))

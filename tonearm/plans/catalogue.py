@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tonearm.operators import drift
-from tonearm.plans import discs, files, library, streams
+from tonearm.plans import discs, files, library, streams, texts
 from tonearm.shared import table
 
 
@@ -29,8 +29,8 @@ WITHOUT_SQL = frozenset(("image_metrics", "recursive_filter", "resample", "predi
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {f.__name__: f for f in (p3_found, p3_scripts, p3_table)}
-    return own | streams.QUERIES | library.QUERIES | discs.QUERIES | files.QUERIES
+    return own | streams.QUERIES | library.QUERIES | discs.QUERIES | files.QUERIES | texts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return streams.SQL | library.SQL | discs.SQL | files.SQL
+    return streams.SQL | library.SQL | discs.SQL | files.SQL | texts.SQL

@@ -240,7 +240,7 @@ def channel_masks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("channels", "channel_mask", L.mask_channels(F.col("channel_mask")).alias("in_mask"), F.when(F.col("channel_mask") == 0, usual[F.col("channels")]).otherwise(F.col("channel_mask")).alias("mask"), "n")
 
 
-@query("SELECT folder, count(*) AS n, max(length(base)) AS widest FROM (SELECT regexp_extract(path, '^(.*)/', 1) AS folder, regexp_extract(path, '([^/]*)$', 1) AS base FROM tracks) GROUP BY 1")
+@query("SELECT folder, count(*) AS n, CAST(max(length(base)) AS INTEGER) AS widest FROM (SELECT regexp_extract(path, '^(.*)/', 1) AS folder, regexp_extract(path, '([^/]*)$', 1) AS base FROM tracks) GROUP BY 1")
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     rows = tracks(spark, d).select(F.regexp_extract("path", "^(.*)/", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("base"))
     return rows.groupBy("folder").agg(F.count("*").alias("n"), F.max(F.length("base")).alias("widest"))

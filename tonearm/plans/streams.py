@@ -346,7 +346,7 @@ def from_bytes(spark: SparkSession, d: str) -> DataFrame:
     return to_bytes(spark, d).select(_U, "frame_idx", F.when(value >= 32768, value - 65536).otherwise(value).alias("signed"))
 
 
-@query("SELECT (sum(sample) // 1000) * 1000 AS level, count(*) AS frames, count(DISTINCT user_id) AS streams FROM s")
+@query("SELECT CAST((sum(sample) // 1000) * 1000 AS BIGINT) AS level, count(*) AS frames, count(DISTINCT user_id) AS streams FROM s")
 def counters(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).agg(F.expr("sum(sample) div 1000 * 1000").alias("level"), F.count("*").alias("frames"), F.countDistinct(_U).alias("streams"))
 
