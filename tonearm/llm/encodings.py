@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -263,6 +264,19 @@ class Model:
         self.chains: dict[str, float] = {}
         self.first = self.begins = False
 
+    def __getstate__(self) -> dict:
+        """Few of the counts are there: what goes to the workers, in each round, is small."""
+        at = np.flatnonzero(self.counts).astype(np.int32)
+        packed = zlib.compress(np.diff(at, prepend=0).astype(np.int32).tobytes() + self.counts.reshape(-1)[at].tobytes(), 1)
+        return self.__dict__ | {"counts": packed}
+
+    def __setstate__(self, state: dict) -> None:
+        raw = zlib.decompress(state["counts"])
+        n = len(raw) // 8
+        counts = np.zeros(KINDS * SLOTS, np.float32)
+        counts[np.cumsum(np.frombuffer(raw, np.int32, n))] = np.frombuffer(raw, np.float32, n, 4 * n)
+        self.__dict__ = state | {"counts": counts.reshape(KINDS, SLOTS)}
+
     def add(self, rows: pa.Table) -> Model:
         slot, pool, chain, weight = (rows.column(c) for c in _COUNTED.names)
         at = np.flatnonzero(slot.to_numpy() >= 0)
