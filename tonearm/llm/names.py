@@ -9,7 +9,7 @@ Similar surnames, places and given names are found by a pigeonhole segment join:
 edits is cut into k+1 segments, and one more as swapped neighbours count as one edit but may touch two segments; at
 least one survives (two swaps that both stand on a border are the exception). Longer or equal strings look up their
 substrings, at the shifted positions a segment can have moved to, in the inverted index of segments, and a banded edit
-distance verifies each candidate. k is 0 below 5 characters, 1 below 9 and 2 from there.
+distance verifies each candidate. k is 0 below 5 characters, 1 below 13 and 2 from there.
 
 Names with equal given names and similar surnames, or equal surnames and similar given names, are linked, and linked
 names make up entities (connected components, by label propagation over written tables). A short name joins the
@@ -181,15 +181,19 @@ for _line in NICKNAMES.split("\n"):
 _GIVEN = frozenset(line.split(":")[0] for line in NICKNAMES.split("\n"))
 #: Between the names of two entities.
 TWO = re.compile(r";|\s(?:&|\+|/|with|feat\.?|featuring|ft\.?|vs\.?|and|und|et|mit|avec|con|y)\s|\s/|/\s", re.I)
-_FOLDS = str.maketrans({"ß": "ss", "ø": "o", "æ": "a", "œ": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "’": "'", "‘": "'", "ʼ": "'"})
+_FOLDS = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "’": "'", "‘": "'", "ʼ": "'"})
 _LINKS = frozenset("the of de von der des du di del da le la les el los die das".split())
 
 
 @functools.lru_cache(maxsize=1 << 16)
 def fold(text: str) -> str:
-    """Letters without case and accents; ä, ae and a are one."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.casefold().translate(_FOLDS)) if not unicodedata.combining(c))
-    return re.sub(r"([aou])e(?=[^aeiou\W])", r"\1", plain)
+    """Letters without case and accents."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold().translate(_FOLDS)) if not unicodedata.combining(c))
+
+
+def twin(folded: str) -> str:
+    """One form for ä and ae, which are a and ae when folded."""
+    return re.sub(r"([aou])e(?=[^aeiou\W])", r"\1", folded)
 
 
 def edits(a: str, b: str, k: int) -> int:
@@ -213,7 +217,7 @@ def edits(a: str, b: str, k: int) -> int:
 
 
 def allowed(n: int) -> int:
-    return 0 if n < 5 else 1 if n < 9 else 2
+    return 0 if n < 5 else 1 if n < 13 else 2
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -367,17 +371,19 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [parse(n) for n in batch.column("name").to_pylist()]
         cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column("name"), *cols], ["name", "shape", "a", "b", "short", "mid"])
+        yield pa.RecordBatch.from_arrays([batch.column("name"), *cols, pa.array([twin(r[1]) for r in rows], pa.string())], ["name", "shape", "a", "b", "short", "mid", "twin"])
 
 
 def entities(names: DataFrame) -> DataFrame:
     """name and entity (a number) of each distinct non-empty name that holds one entity."""
-    parsed = names.select("name").filter("name is not null and name <> ''").distinct().mapInArrow(_parsed, "name string, shape string, a string, b string, short boolean, mid string")
+    parsed = names.select("name").filter("name is not null and name <> ''").distinct().mapInArrow(_parsed, "name string, shape string, a string, b string, short boolean, mid string, twin string")
     parsed = cut(parsed.filter("shape <> '' and a <> ''").withColumn("id", F.xxhash64("shape", "a", "b", "short", "mid")))
-    cores = cut(parsed.select("id", "shape", "a", "b", "short", "mid").distinct())
+    cores = cut(parsed.select("id", "shape", "a", "b", "short", "mid", "twin").distinct())
     alike = cut(similar(cores.select(F.col("shape").alias("block"), F.col("a").alias("s"))))
-    same = cores.select(F.col("shape").alias("block"), F.col("a").alias("s"), F.col("a").alias("t"), F.lit(0).alias("edits")).distinct()
-    near = cut(alike.union(same).withColumnRenamed("block", "shape"))
+    forms = cores.select(F.col("shape").alias("block"), "twin", F.col("a").alias("s")).distinct()
+    same = forms.join(forms.withColumnRenamed("s", "t"), ["block", "twin"]).select("block", "s", "t", F.lit(0).alias("edits"))
+    near = alike.union(same).groupBy("block", "s", "t").agg(F.min("edits").alias("edits"))
+    near = cut(near.withColumnRenamed("block", "shape"))
 
     def side(df: DataFrame, x: str) -> DataFrame:
         return df.select("shape", *[F.col(c).alias(c + x) for c in ("id", "a", "b", "short", "mid")])
