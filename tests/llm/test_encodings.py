@@ -13,7 +13,7 @@ def test_chains():
     twice = "Noël".encode().decode("cp1252").encode().decode("cp1252")
     assert dict(encodings.chains(twice))["utf-8>cp1252 utf-8>cp1252"] == "Noël"
     assert encodings.chains("plain") == [("", "plain")]
-    assert [c for c, _ in encodings.chains("M�hle")] == ["lost"] or "lost" in dict(encodings.chains("M�hle"))
+    assert "lost" in dict(encodings.chains("M�hle")) and "" not in dict(encodings.chains("M�hle"))
     assert "" not in dict(encodings.chains("M?hle")) and dict(encodings.chains("Who is it?")) == {"": "Who is it?"}
 
 

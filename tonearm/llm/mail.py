@@ -11,6 +11,8 @@ import binascii
 import html
 import re
 
+#: Parts within parts are read down to here; deeper ones count as text.
+DEPTH = 200
 _HEADER = re.compile(r"^[A-Za-z][A-Za-z0-9-]*:")
 _TYPE = re.compile(r"^content-type:[ \t]*([^;\s]*)([^\n]*)", re.I | re.M)
 _ENCODING = re.compile(r"^content-transfer-encoding:[ \t]*([^;\s]*)", re.I | re.M)
@@ -19,14 +21,14 @@ _BOUNDARY = re.compile(r"boundary=(?:\"([^\"]*)\"|([^;\s]+))", re.I)
 _CHARSET = re.compile(r"charset=\"?([^\";\s]+)", re.I)
 _FOLD = re.compile(r"\n[ \t]+")
 _QP = re.compile(rb"=([0-9A-Fa-f]{2})|=[ \t]*\n")
-_DROPPED = re.compile(r"<(style|script|head|blockquote)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BREAK = re.compile(r"<(?:br|/p|/div|/li|/tr|/h\d|hr)\b[^>]*>\n?", re.I)
-_TAG = re.compile(r"<!?/?[a-z][^<>]*>|<!--.*?-->", re.I | re.S)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
+# No tag reaches over the start of another, and what is never closed ends with the text: each of these is linear.
+_DROPPED = re.compile(r"<(style|script|head|blockquote)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_BREAK = re.compile(r"<(?:br|/p|/div|/li|/tr|/h\d|hr)\b[^<>]*>\n?", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!?/?[a-z][^<>]*>", re.I | re.S)
+_TITLE = re.compile(r"<title\b[^<>]*>(.*?)(</title\s*>|\Z)", re.I | re.S)
 #: A line that starts an unmarked quotation of everything below it.
 _CUT = re.compile(r"^\s*-{3,} ?(?=[^-\n]*(?:original|forward|message|mail\b|nachricht|weitergeleitet|ursprünglich|transféré|mensaje|reenviado|messaggio|inoltrato|mensagem|encaminhada))[^-\n]{3,60}? ?-{3,}\s*$", re.I)
-#: A line that introduces marked lines: it ends in a colon and holds a date or an address.
-_SAYS = re.compile(r"^.{0,300}(?:\d.*|@.*):\s*$")
+_DATED = re.compile(r"[\d@]")
 _QUOTED = re.compile(r"^\s*(?:[>|]|&gt;)")
 _SIGNATURE = re.compile(r"^-- ?$")
 _FOOTER = re.compile(r"^(?:_{5,}|={5,}|\*{5,}|-{20,})\s*$")
@@ -38,6 +40,12 @@ _DISCLAIMS = re.compile(r"confiden[tc]ial|confidentiel|vertraulich|riservat|priv
 NOTICES = ("This message and its attachments", "This e-mail", "This email", "The information in this", "Diese Nachricht", "Diese E-Mail", "Ce message", "Este mensaje", "Esta mensagem", "Questo messaggio")
 
 
+def says(line: str) -> bool:
+    """Whether a line introduces marked lines: it ends in a colon and holds a date or an address."""
+    bare = line.rstrip()
+    return bare.endswith(":") and bool(_DATED.search(bare))
+
+
 def _decode(body: str, encoding: str, charset: str) -> str:
     if encoding == "base64":
         data = re.sub(r"[^A-Za-z0-9+/]", "", body)
@@ -68,7 +76,7 @@ def leaves(entity: str, depth: int = 0) -> list[tuple[str, str]]:
     head = _FOLD.sub(" ", head)
     kind = _TYPE.search(head)
     mime, params = (kind[1].lower(), kind[2]) if kind else ("text/plain", "")
-    if mime.startswith("multipart/") and depth < 20:
+    if mime.startswith("multipart/") and depth < DEPTH:
         mark = _BOUNDARY.search(params)
         if mark:
             parts = re.split(rf"(?:^|\n)--{re.escape(mark[1] or mark[2])}(--)?[ \t]*(?:\n|\Z)", body)
@@ -90,7 +98,7 @@ def plain(markup: str) -> str:
     """The visible text of HTML without what it quotes; a page's title comes first."""
     title = _TITLE.search(markup)
     text = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub("", markup)))
-    return html.unescape((title[1] + "\n" if title else "") + text)
+    return html.unescape((title[1] + "\n" if title and title[2] else "") + text)
 
 
 def own(text: str | None) -> str:
@@ -120,7 +128,7 @@ def own(text: str | None) -> str:
                     skipped = end
                     continue
             follows = next((j for j in range(k + 1, min(k + 4, len(lines))) if lines[j].strip()), None)
-            if follows is not None and quoted[follows] and (_SAYS.match(line) or _SAYS.match(line + " " + lines[k + 1]) and k + 1 < len(lines)):
+            if follows is not None and quoted[follows] and (says(line) or says(line + " " + lines[k + 1])):
                 continue
             out.append(line)
         kept.append("\n".join(out).strip())

@@ -16,6 +16,7 @@ Repeated rows give one doc_id. Null sources count as one source.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -162,8 +163,11 @@ def verdict(text: str | None) -> tuple[str | None, bool, int] | None:
             if (k := kind(whole)) not in ("other", "trailer"):
                 size[k] += len(whole)
                 continue
-            for s in [x for line in paragraph.split("\n") for x in sentences(line)] if len(paragraph) < 400 else sentences(paragraph):
-                size[kind(s)] += len(s)
+            # lines may end sentences or only wrap them: the reading that knows more of the paragraph counts
+            ways = [[x for line in paragraph.split("\n") for x in sentences(line)], sentences(paragraph)]
+            readings = [[(kind(s), len(s)) for s in each] for each in (ways if ways[0] != ways[1] else ways[:1])]
+            for k, n in max(readings, key=lambda r: sum(n for k, n in r if k not in ("other", "trailer"))):
+                size[k] += n
         name = max(("filler", "error", "scripts"), key=lambda k: size[k])
         if size[name] and sum(size[k] for k in ("filler", "error", "scripts")) >= size["other"]:
             found = name
@@ -186,9 +190,8 @@ def judged(docs: DataFrame, rate: float = RATE) -> DataFrame:
     rows = cut(texts.mapInArrow(_judge, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, message string, rule string, wider boolean, body_hash bigint"))
     bodies = rows.filter("body_hash is not null")
     groups = bodies.groupBy("body_hash").agg(F.countDistinct("message").alias("n"), F.max("rule").alias("group_rule"), F.max("wider").alias("group_wider"))
-    least = bodies.agg(F.greatest(F.lit(2), F.ceil(F.count("*") * F.lit(rate))).alias("least"))
-    recurs = F.col("group_wider") & (F.col("n") >= F.col("least"))
-    classed = groups.crossJoin(F.broadcast(least)).select("body_hash", F.when(F.col("group_rule").isNotNull(), F.col("group_rule")).when(recurs, F.lit("recurring")).alias("class"), recurs.alias("recurs")).filter("class is not null")
+    recurs = F.col("group_wider") & (F.col("n") >= max(2, math.ceil(bodies.count() * rate)))
+    classed = groups.select("body_hash", F.when(F.col("group_rule").isNotNull(), F.col("group_rule")).when(recurs, F.lit("recurring")).alias("class"), recurs.alias("recurs")).filter("class is not null")
     checked = F.when(F.col("class").isNotNull() & F.col("rule").isNotNull(), F.col("rule")).when(F.col("recurs") & F.col("wider"), F.lit("recurring"))
     known = bodies.join(classed, "body_hash", "left").select("doc_id", "source", checked.alias("kind"), "body_hash")
     return known.unionByName(rows.filter("body_hash is null").select("doc_id", "source", F.lit(None).cast("string").alias("kind"), "body_hash"))
