@@ -35,8 +35,11 @@ def seconds(frames: str = "total_frames", rate: str = "sample_rate") -> Column:
 
 def summary(tracks: DataFrame, by: str, **sums: Column) -> DataFrame:
     """``by``, is_total, n and the sums: a row for each value, and one for all where there is more than one value."""
-    rolled = tracks.rollup(by).agg(F.count("*").alias("n"), *[F.sum(e).alias(k) for k, e in sums.items()], F.grouping(by).alias("is_total"), F.countDistinct(F.coalesce(F.col(by).cast("string"), F.lit("\0"))).alias("_kinds"))
-    return rolled.filter("is_total = 0 or _kinds > 1").drop("_kinds").withColumn("is_total", F.col("is_total") == 1)
+    per = tracks.groupBy(by).agg(F.count("*").alias("n"), *[F.sum(e).alias(k) for k, e in sums.items()])
+    # the total comes from the few rows of the groups, not from the tracks again
+    every = per.agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums], F.count("*").alias("_kinds")).filter("_kinds > 1")
+    total = every.select(F.lit(None).cast(per.schema[by].dataType).alias(by), "n", *sums, F.lit(True).alias("is_total"))
+    return per.withColumn("is_total", F.lit(False)).unionByName(total)
 
 
 def most_numerous(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
