@@ -53,18 +53,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[sc.applicationId]
 
 
+def temporary(spark: SparkSession) -> str:
+    """A new path in the shared folder that ``release`` deletes."""
+    path = f"{shared_dir(spark)}/tonearm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the plan is cut, and a lost executor costs nothing.
 
     The files live in a folder named after the application, as long as this Python process or until ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tonearm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = temporary(spark)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 

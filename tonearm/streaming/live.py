@@ -7,7 +7,6 @@ dropped by Spark, as a watermark means. ``loudness_windows`` keeps for each user
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tonearm.shared import shared_dir
+from tonearm.shared import temporary
 
 
 def feed(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
@@ -69,7 +68,7 @@ def loudness_windows(events: DataFrame, frames: int) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is available into the shared folder and returns what came out."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/tonearm-live-{uuid.uuid4().hex}"
+    at = temporary(spark)
     if mode == "append":
         query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/log").format("parquet").option("path", f"{at}/out").outputMode("append").start()
     else:  # each batch holds the whole result: the last one stands
