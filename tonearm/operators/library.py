@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonearm.shared import cut
+
 #: Fixed value: stands for a missing number in sort and group keys.
 MISSING = -(1 << 31)
 #: Suffixes of file names and the formats that use them.
@@ -63,6 +65,7 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], fallback: list
         a = single(rest_left, on).select(F.col(row).alias("left_row"), *[F.col(k).alias(f"a_{k}") for k in on])
         b = single(rest_right, on).select(F.col(row).alias("right_row"), *[F.col(k).alias(f"b_{k}") for k in on])
         pairs = a.join(b, reduce(Column.__and__, [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in on])).select("left_row", "right_row", F.lit(stage).alias("stage"))
+        pairs = cut(pairs)  # two numbers a pair, read three times below
         found.append(pairs)
         rest_left = rest_left.join(pairs, F.col(row) == F.col("left_row"), "left_anti")
         rest_right = rest_right.join(pairs, F.col(row) == F.col("right_row"), "left_anti")
