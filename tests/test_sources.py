@@ -67,7 +67,7 @@ def test_pictures():
 
 def test_boxes():
     box = lambda name, body: struct.pack(">I4s", 8 + len(body), name) + body
-    data = box(b"ftyp", b"M4A ") + box(b"moov", box(b"mvhd", b"1234") + box(b"udta", box(b"meta", bytes(4) + box(b"ilst", box(b"nam", b"") if False else box(b"\xa9nam", box(b"data", b"x"))))))
+    data = box(b"ftyp", b"M4A ") + box(b"moov", box(b"mvhd", b"1234") + box(b"udta", box(b"meta", bytes(4) + box(b"ilst", box(b"\xa9nam", box(b"data", b"x"))))))
     assert [p for p, _, _ in boxes.atoms(data)] == ["ftyp", "moov", "moov/mvhd", "moov/udta", "moov/udta/meta", "moov/udta/meta/ilst", "moov/udta/meta/ilst/©nam", "moov/udta/meta/ilst/©nam/data"]
     assert boxes.atom(data, "moov/mvhd") == b"1234" and boxes.atom(data, "free") is None
     page = lambda n, sizes, body: b"OggS\0\0" + struct.pack("<qIII", n, 5, n, 0) + bytes([len(sizes), *sizes]) + body

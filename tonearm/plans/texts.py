@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm.operators import discs as D
-from tonearm.operators import library as L
 from tonearm.operators import sheets as T
 from tonearm.plans.registry import Registry
 from tonearm.shared import table
