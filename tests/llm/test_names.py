@@ -57,3 +57,18 @@ def test_similar_against_brute_force(spark):
     want = {(a, b) for a in words for b in words if a != b and lev(a, b) <= names.allowed(min(len(a), len(b)))}
     assert want <= got
     assert all(names.edits(a, b, 3) <= names.allowed(min(len(a), len(b))) for a, b in got)
+
+
+def test_candidates_dont_grow_with_the_square(spark):
+    rnd = random.Random(7)
+    some = lambda n: "".join(rnd.choice("abcdefghiklmnoprstuvwz") for _ in range(n))
+    words = {some(3) + "ezov" for _ in range(600)} | {"alex" + some(10) for _ in range(600)}  # one segment in common
+    met = {(r.s, r.t) for r in names.candidates(spark.createDataFrame([("b", w) for w in words], "block string, s string")).collect()}
+    assert len(met) < 20 * len(words)
+    assert {(a, b) for a in words for b in words if a < b and names.edits(a, b, 2) <= names.allowed(min(len(a), len(b)))} <= met
+
+
+def test_two_swaps_across_borders(spark):
+    words = ["abcdefghijklmnop", "abcedfghijkmlnop", "abcedfghijklmnpo", "abdcefg", "abcdefg", "acbdefg"]
+    got = {(r.s, r.t) for r in names.similar(spark.createDataFrame([("b", w) for w in words], "block string, s string")).collect() if r.s < r.t}
+    assert got == {("abcdefghijklmnop", "abcedfghijkmlnop"), ("abcdefghijklmnop", "abcedfghijklmnpo"), ("abcedfghijklmnpo", "abcedfghijkmlnop"), ("abcdefg", "abdcefg"), ("abcdefg", "acbdefg")}

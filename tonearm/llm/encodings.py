@@ -53,6 +53,7 @@ SLOTS = 1 << 18
 PRIOR, FLOOR = 50.0, 1e-5
 LOST = "�"
 _WORD = re.compile(r"[^\W\d_]+")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 _ALIKE: dict[str, dict[str, str]] = {}
 for _a, _s, _b in lookalikes():
     _ALIKE.setdefault(_a, {})[_s] = _b
@@ -97,8 +98,10 @@ def _unread(text: str, read: str) -> bytes | None:
 def undo(text: str, written: str, read: str) -> str | None:
     """The text whose bytes in ``written`` give ``text`` when read as ``read``; None if there is none."""
     raw = _unread(text, read)
-    if raw is None:
-        return None
+    return None if raw is None else _decoded(text, raw, written)
+
+
+def _decoded(text: str, raw: bytes, written: str) -> str | None:
     try:
         back = raw.decode(written)
     except UnicodeDecodeError:
@@ -108,7 +111,7 @@ def undo(text: str, written: str, read: str) -> str | None:
 
 def _sound(text: str) -> bool:
     """Whether a text can be an original: no control codes, no word in letters of several scripts."""
-    if any(c < " " and c not in "\t\n\r" or "\x7f" <= c <= "\x9f" for c in text):
+    if _CONTROL.search(text):
         return False
     return all(len({_script(c) for c in w}) < 2 for w in _WORD.findall(text) if not w.isascii())
 
@@ -157,17 +160,28 @@ def chains(value: str) -> list[tuple[str, str]]:
             for text, chain in edge:
                 if text.isascii():
                     continue
+                tried: dict[bytes, set[str]] = {}  # encodings that agree on these characters give the same bytes
+                unsound: set[str] = set()
                 for read in READ:
+                    if (raw := _unread(text, read)) is None:
+                        continue
+                    done = tried.setdefault(raw, set())
                     for written in WRITTEN:
-                        if written == read or (back := undo(text, written, read)) is None or back in seen:
+                        if written == read or written in done:
                             continue
+                        done.add(written)
                         utf = written == "utf-8"
-                        if utf or _sound(back):
+                        if (back := _decoded(text, raw, written)) is None or back in seen or back in unsound and not utf:
+                            continue
+                        sound = _sound(back)
+                        if not sound:
+                            unsound.add(back)
+                        if utf or sound:
                             seen.add(back)
                             name = f"{written}>{read}" + (f" {chain}" if chain else "")
                             if utf:
                                 reached.append((back, name))
-                            if _sound(back):
+                            if sound:
                                 ways[back] = name
             edge = reached
         if not any(c.startswith("utf-8") for c in ways.values()):

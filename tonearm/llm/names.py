@@ -5,11 +5,13 @@ are put in order; letters are folded. A person becomes a surname and a given nam
 abbreviations, nicknames). A group becomes a place and the words of its kind, abbreviations and translations resolved.
 A name that holds two entities ("A & B", "A with B", "A; B") belongs to none.
 
-Similar surnames, places and given names are found by a pigeonhole segment join: a string of length n that may take k
-edits is cut into k+1 segments, and one more as swapped neighbours count as one edit but may touch two segments; at
-least one survives (two swaps that both stand on a border are the exception). Longer or equal strings look up their
-substrings, at the shifted positions a segment can have moved to, in the inverted index of segments, and a banded edit
-distance verifies each candidate. k is 0 below 5 characters, 1 below 13 and 2 from there.
+Similar surnames, places and given names are found by exact look-ups; k edits are allowed, 0 below 5 characters, 1 below
+13 and 2 from there, and swapped neighbours count as one. At k = 1 two strings meet in what is left of them without one
+character. At k = 2 it is a pigeonhole segment join: the shorter string is cut into four segments, of which two survive.
+It is indexed by each two of its segments, and longer or equal strings look up the two substrings they can have become,
+at the positions that few enough insertions and deletions can have moved them to. A swap across a border touches two
+segments, so the shorter string is also indexed with such swaps made. An edit distance verifies each candidate. One
+segment alone would meet a share of all strings, whatever their number; so candidates would grow with its square.
 
 Names with equal given names and similar surnames, or equal surnames and similar given names, are linked, and linked
 names make up entities (connected components, by label propagation over written tables). A short name joins the
@@ -28,6 +30,8 @@ import functools
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -200,6 +204,11 @@ def edits(a: str, b: str, k: int) -> int:
     """Edit distance within a band of ``k``; k + 1 if it is larger. Two swapped neighbours are one edit."""
     if abs(len(a) - len(b)) > k:
         return k + 1
+    # common beginnings and ends align with themselves
+    same = len(commonprefix((a, b)))
+    a, b = a[same:], b[same:]
+    same = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - same], b[: len(b) - same]
     before: dict[int, int] = {}
     row = {j: j for j in range(k + 1)}
     for i in range(1, len(a) + 1):
@@ -212,12 +221,18 @@ def edits(a: str, b: str, k: int) -> int:
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                 best = min(best, before.get(j - 2, k + 1) + 1)
             new[j] = best
+        if min(new.values(), default=k + 1) > k and min(row.values()) >= k:  # a swap looks two rows back
+            return k + 1
         before, row = row, new
     return min(k + 1, row.get(len(b), k + 1))
 
 
+#: From these lengths on, one and two edits are allowed.
+SHORT, LONG = 5, 13
+
+
 def allowed(n: int) -> int:
-    return 0 if n < 5 else 1 if n < 13 else 2
+    return 0 if n < SHORT else 1 if n < LONG else 2
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -306,24 +321,58 @@ def parts_of(n: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
+def swapped_at(s: str, k: int) -> Iterator[tuple[int, str]]:
+    """(how many, the string with them) of up to ``k`` swaps of neighbours across borders of segments."""
+    borders = [a for a, _ in parts_of(len(s), k)[1:] if s[a - 1] != s[a]]
+    for m in range(k + 1):
+        for some in combinations(borders, m):
+            t = list(s)
+            for a in some:
+                t[a - 1], t[a] = t[a], t[a - 1]
+            yield m, "".join(t)
+
+
+@functools.lru_cache(maxsize=1 << 10)
+def moves(k: int, longer: int) -> list[tuple[int, int]]:
+    """How far two segments can have moved by at most ``k`` insertions and deletions that make a string so much longer."""
+    reach = range(-k, k + 1)
+    return [(x, y) for x in reach for y in reach if abs(x) + abs(y - x) + abs(longer - y) <= k]
+
+
+def keys(s: str) -> set[tuple[bool | None, int, int, str]]:
+    """(probe, n, seg, piece) of all look-ups of a string; probe is null where strings of both sides meet in one key."""
+    n, out = len(s), set()
+    if SHORT <= n < LONG:
+        out.add((None, n, -1, s))
+    if SHORT <= n <= LONG:
+        out |= {(None, n - 1, -1, s[:i] + s[i + 1 :]) for i in range(n)}
+    if n < LONG:
+        return out
+    k = allowed(n)
+    parts = parts_of(n, k)
+    for m, t in swapped_at(s, k):
+        # a swap made leaves fewer edits: one of two disjoint pairs of segments survives one edit, any pair none
+        for x, y in [*combinations(range(k + 2), 2)] if not m else [(0, 1), (2, 3)][: k - m + 1]:
+            (a, p), (b, q) = parts[x], parts[y]
+            out.add((False, n, x * (k + 2) + y, t[a : a + p] + t[b : b + q]))
+    for of in range(max(LONG, n - k), n + 1):
+        parts = parts_of(of, k)
+        for x, y in combinations(range(k + 2), 2):
+            (a, p), (b, q) = parts[x], parts[y]
+            for v, w in moves(k, n - of):
+                if a + v >= 0 and a + v + p <= b + w and b + w + q <= n:
+                    out.add((True, of, x * (k + 2) + y, s[a + v : a + v + p] + s[b + w : b + w + q]))
+    return out
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of each string (probe false), and the substrings by which it looks up shorter ones (probe true)."""
+    """The keys of each string."""
     names = ["block", "s", "probe", "n", "seg", "piece"]
     types = (pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string())
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
-            rows = []
-            for block, s in zip(batch.column("block").slice(lo, 1024).to_pylist(), batch.column("s").slice(lo, 1024).to_pylist()):
-                n = len(s)
-                if k := allowed(n):
-                    rows += [(block, s, False, n, i, s[a : a + m]) for i, (a, m) in enumerate(parts_of(n, k))]
-                for of in range(max(1, n - 2), n + 1):
-                    k = allowed(of)
-                    if n - of > k:
-                        continue
-                    for i, (a, m) in enumerate(parts_of(of, k) if k else []):
-                        for at in range(max(0, a - k), min(n - m, a + k) + 1):
-                            rows.append((block, s, True, of, i, s[at : at + m]))
+            each = zip(batch.column("block").slice(lo, 1024).to_pylist(), batch.column("s").slice(lo, 1024).to_pylist())
+            rows = [(block, s, *key) for block, s in each for key in keys(s)]
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
@@ -336,16 +385,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("s"), batch.column("t"), pa.array(d, pa.int32())], ["block", "s", "t", "edits"]).filter(keep)
 
 
+def candidates(strings: DataFrame) -> DataFrame:
+    """block, s and t (s < t) of the strings of a block that meet in a key; every pair within the edits allowed does."""
+    rows = cut(spread(strings.select("block", "s").distinct()).mapInArrow(_index, "block string, s string, probe boolean, n int, seg int, piece string"))
+    indexed, probes = rows.filter("probe is null or not probe").drop("probe"), rows.filter("probe is null or probe").drop("probe").withColumnRenamed("s", "t")
+    met = indexed.join(probes, ["block", "n", "seg", "piece"]).filter("s < t or seg >= 0 and s > t")
+    return met.select("block", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()
+
+
 def similar(strings: DataFrame) -> DataFrame:
     """block, s, t and edits of the different strings of a block within the edits allowed, each pair both ways.
 
     ``strings`` has the columns block and s.
     """
-    rows = cut(spread(strings.select("block", "s").distinct()).mapInArrow(_index, "block string, s string, probe boolean, n int, seg int, piece string").distinct())
-    indexed, probes = rows.filter("not probe").drop("probe"), rows.filter("probe").drop("probe").withColumnRenamed("s", "t")
-    met = indexed.join(probes, ["block", "n", "seg", "piece"]).filter("s <> t").select("block", "s", "t").distinct()
-    one = met.mapInArrow(_verified, "block string, s string, t string, edits int")
-    return one.union(one.select("block", F.col("t").alias("s"), F.col("s").alias("t"), "edits")).distinct()
+    one = candidates(strings).mapInArrow(_verified, "block string, s string, t string, edits int")
+    return one.union(one.select("block", F.col("t").alias("s"), F.col("s").alias("t"), "edits"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tonearm.llm import encodings, mixing, names, plainform, residue, tokens, truncation
 from tonearm.shared import table
@@ -20,7 +21,7 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
     tracks = table(spark, d, "tracks")
-    return names.names_of(tracks, damaged=_damaged(tracks))
+    return names.names_of(tracks, damaged=_damaged(tracks, names.FIELDS))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,19 +32,23 @@ def p2_entities(spark: SparkSession, d: str) -> DataFrame:
     return names.entities(_names(spark, d))
 
 
-def _damaged(tracks: DataFrame) -> DataFrame:
-    """Cells of problems 1 and 5; a cell has one kind of damage at most."""
-    return encodings.found(tracks).union(plainform.found(tracks)).distinct()
+def _damaged(tracks: DataFrame, of: tuple[str, ...]) -> DataFrame:
+    """Cells of problems 1 and 5 in the fields ``of``; a cell has one kind of damage at most.
+
+    Problem 5 judges each value by itself, so other fields needn't be read; problem 1 learns from all of its fields.
+    """
+    plain = plainform.found(tracks, fields=tuple(f for f in plainform.FIELDS if f in of))
+    return encodings.found(tracks).filter(F.col("field_name").isin(*of)).union(plain).distinct()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     tracks = table(spark, d, "tracks")
-    return truncation.found(tracks, _damaged(tracks))
+    return truncation.found(tracks, _damaged(tracks, truncation.FIELDS))
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     tracks = table(spark, d, "tracks")
-    return truncation.shares(tracks, _damaged(tracks))
+    return truncation.shares(tracks, _damaged(tracks, truncation.FIELDS))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
