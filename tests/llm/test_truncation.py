@@ -1,3 +1,5 @@
+import random
+
 from tonearm.llm import truncation
 
 META = "track_id bigint, tag_source string, meta struct<track_name string, album_name string, comment string>, n int"
@@ -32,3 +34,46 @@ def test_found(spark):
     share = {(r.tag_source, r.field_name): r.cut for r in truncation.shares(tracks).collect()}
     assert share["b", "comment"] == 3 and share["a", "comment"] == 0 and share["b", None] == 5
     assert truncation.found(tracks.limit(0)).count() == 0
+
+
+def _texts(seed):
+    rnd = random.Random(seed)
+    out = set()
+    for _ in range(12):
+        family = {"".join(rnd.choice("abcde .,'") for _ in range(rnd.choice([5, 11, 20, 33, 60])))}
+        for _ in range(15):
+            t = list(rnd.choice(sorted(family)))
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                i = rnd.randrange(len(t))
+                t[i : i + 1] = rnd.choice([[], ["b"], [t[i], "c"]])
+            t = t[: rnd.randint(5, 70)] + [rnd.choice("abc  '") for _ in range(rnd.randint(0, 6))]
+            family.add("".join(t))
+        out |= {t for t in family if len(t) >= 5}
+    return sorted(out)
+
+
+def test_near_copies_against_brute_force(spark):
+    texts = _texts(3)
+    buckets = {t: truncation.sketches(t) for t in texts}
+    want = {}
+    for s in texts:
+        mine = {(n, b) for n, b, largest in buckets[s] if largest}
+        for t in texts:
+            if len(t) > len(s) and any((n, b) in mine for n, b, _ in buckets[t]):
+                n = truncation.aligned(s, t)
+                if n is not None and n < len(t):
+                    rest = t[n:]
+                    inside = rest[0].isalnum() and s[-1].isalnum() or len(rest) > 1 and rest[0] in "'’" and rest[1].isalpha()
+                    goes_on = s[-1] not in ".!?" and (inside or rest[0] in ",;:" or rest.lstrip()[:1].islower())
+                    was = want.get(s, (False, False))
+                    want[s] = (was[0] or inside, was[1] or goes_on)
+    df = spark.createDataFrame([("title", t) for t in texts], "kind string, text string")
+    assert len(want) > 50
+    assert {r.text: (r.inside, r.goes_on) for r in truncation.near_copies(df).collect()} == want
+    assert {r.text: (r.inside, r.goes_on) for r in truncation.near_copies(df, held=2).collect()} == want  # every bucket split
+
+
+def test_a_text_between_hides_no_near_copy(spark):
+    texts = ["the engineer noted a dropout in the left chan", "the engineer noted a dropout in the left chan and more", "the engineer noted a dropout in the left channel"]
+    got = truncation.near_copies(spark.createDataFrame([("sentence", t) for t in texts], "kind string, text string"))
+    assert {r.text: r.inside for r in got.collect()}[texts[0]]

@@ -2,10 +2,13 @@
 
 Two kinds of evidence, both over all distinct values. First, near-copies: each value is sketched by min-hashes of its
 character shingles at a geometric series of lengths, and the sketches are banded, so a cut copy shares buckets with
-what it was cut from, at the largest length it reaches. Within a bucket values are sorted; a text that continues
-another one stands right behind it, so each value is aligned with its follower only and no bucket is ever paired out.
-A pair is verified if the shorter text, edits up to ``EDITS`` of its length allowed, aligns with the start of the
-longer one; the shorter copy ends early, and what follows tells whether it ends inside a word or inside a sentence.
+what it was cut from, at the largest length it reaches. A pair is verified if the shorter text, edits up to ``EDITS``
+of its length allowed, aligns with the start of the longer one; the shorter copy ends early, and what follows tells
+whether it ends inside a word or inside a sentence. Each short text is held against all longer ones of its buckets.
+Only the beginnings matter that it can align with and what comes right after them; these are few, and sorted they form
+a tree, which a short text walks down with one row of the alignment for each character, so shared beginnings are
+aligned once and branches without an alignment left are not entered. Beginnings that lack more of its neighbouring
+characters than the edits can have changed are left out beforehand. Large buckets are split over tasks.
 
 Second, terminality of the closing word: how often the last word, after the word before it, is a whole word elsewhere,
 against how often it is the beginning of longer words there. Lengths at which values of one (tag source, field) pile
@@ -23,6 +26,8 @@ in a digit is no case: a number isn't a word.
 
 from __future__ import annotations
 
+import functools
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -40,6 +45,8 @@ SENTENCES = ("comment",)
 #: Characters a shingle, hashes a band, bands, and the series of lengths.
 SHINGLE, ROWS, BANDS, SCALE, SMALLEST = 3, 2, 2, 1.25, 5
 EDITS = 0.1
+#: Beginnings that one task holds at a time: a larger bucket is split, and its short texts go to every part.
+HELD = 1 << 16
 #: Rate of cuts away from field limits; how much more often than its neighbours a limit's length occurs.
 RATE, PILE = 0.01, 3.0
 #: A note of its own: the least cells away from limits, and how many for each cell that goes on after the same words.
@@ -60,6 +67,21 @@ def lengths(n: int) -> list[int]:
     return out
 
 
+@functools.lru_cache(maxsize=1 << 10)
+def reach(n: int) -> int:
+    """How many characters the texts of largest length ``n`` align with at most."""
+    x = float(SMALLEST)
+    while int(x) <= n:
+        x = max(x * SCALE, x + 1)
+    return int(x) - 1 + int(EDITS * (int(x) - 1))
+
+
+def head(text: str, n: int) -> str:
+    """The beginning of a text by which texts of largest length ``n`` are judged."""
+    most = reach(n)
+    return text[: most + 2] + (text[most + 2 :].lstrip()[:1] if text[most : most + 2].isspace() else "")
+
+
 def sketches(text: str) -> list[tuple[int, int, bool]]:
     """(length, bucket, whether it is the largest length) of each band at each length of the series."""
     hashes = np.array([xxhash.xxh3_64_intdigest(text[i : i + SHINGLE]) for i in range(max(1, len(text) - SHINGLE + 1))], np.uint64)
@@ -99,35 +121,150 @@ def aligned(short: str, long: str) -> int | None:
     return same - end if edits <= k else None
 
 
+def ending(short: str, long: str, n: int) -> tuple[bool, bool]:
+    """Whether ``short``, which aligns with ``n`` characters of ``long``, ends inside a word, and inside a sentence."""
+    rest = long[n:]
+    inside = rest[0].isalnum() and short[-1].isalnum() or len(rest) > 1 and rest[0] in "'’" and rest[1].isalpha()
+    return inside, not short[-1] in ".!?" and (inside or rest[0] in ",;:" or rest.lstrip()[:1].islower())
+
+
+def _past(heads: list[str], prefix: str, lo: int, hi: int) -> int:
+    """Where the heads that begin with ``prefix`` end."""
+    return bisect_left(heads, prefix + "\U0010ffff", lo, hi)
+
+
+def neighbours(texts: list[str]) -> np.ndarray:
+    """How often the texts hold each of 256 hashes of two neighbouring characters: a row a hash, a column a text."""
+    out = np.zeros((len(texts), 256), np.int16)
+    for i, t in enumerate(texts):
+        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts = np.bincount((points[:-1] * np.uint32(31) + points[1:]) % np.uint32(256), minlength=256)
+        out[i] = np.minimum(counts, np.iinfo(np.int16).max)  # a bound stays a bound
+    return np.ascontiguousarray(out.T)
+
+
+def in_reach(short: str, k: int, heads: list[str], held: np.ndarray) -> list[str]:
+    """The heads, longer than ``short``, that hold all of its neighbouring characters but two for each edit."""
+    own = neighbours([short])[:, 0]
+    at = np.flatnonzero(own)
+    lack = np.maximum(own[at, None] - held[at], 0).sum(axis=0, dtype=np.int32)
+    return [heads[i] for i in np.flatnonzero(lack <= 2 * k) if len(heads[i]) > len(short)]
+
+
+def carried_on(short: str, heads: list[str], held: np.ndarray) -> tuple[bool, bool] | None:
+    """Of all longer ones among the sorted ``heads`` that ``short`` aligns with, as ``aligned`` tells: whether it ends
+    inside a word before any, and inside a sentence. None if it aligns with none that goes on.
+
+    ``held`` are the ``neighbours`` of the heads.
+    """
+    m, k = len(short), int(EDITS * len(short))
+    inside = sentence = met = False
+
+    def judge(lo: int, hi: int, n: int) -> bool:
+        """Heads lo to hi, which ``short`` aligns with up to ``n``. Whether there is nothing more to learn."""
+        nonlocal inside, sentence, met
+        while lo < hi:
+            h = heads[lo]
+            if len(h) <= max(m, n):
+                lo += 1
+                continue
+            met = True
+            a, b = ending(short, h, n)
+            inside, sentence = inside or a, sentence or b
+            if inside and (sentence or short[-1] in ".!?"):
+                return True
+            # the two characters after it decide, or the first that is no space; all heads with these tell the same
+            at = n + 2
+            if h[n].isspace():
+                at = len(h) - len(h[n:].lstrip()) + 1
+            lo = max(lo + 1, _past(heads, h[: max(at, m + 1)], lo, hi)) if at <= len(h) else lo + 1
+        return False
+
+    lo = bisect_right(heads, short)
+    if judge(lo, _past(heads, short, lo, len(heads)), m) or not k or not (heads := in_reach(short, k, heads, held)):
+        return (inside, sentence) if met else None
+    same = len(commonprefix((short, heads[0], heads[-1])))
+    # (heads from, to, characters read, alignments of the beginnings of short around there, fewest edits and -end so far)
+    todo = [(0, len(heads), same, {i: i - same for i in range(same, min(m, same + k) + 1)}, (k + 1, 0))]
+    if m - same <= k:
+        todo[0] = (*todo[0][:4], (m - same, -same))
+    while todo:
+        lo, hi, j, row, best = todo.pop()
+        while lo < hi and len(heads[lo]) == j:  # it ends here
+            if best[0] <= k and judge(lo, lo + 1, -best[1]):
+                return inside, sentence
+            lo += 1
+        if lo == hi:
+            continue
+        if j >= m + k:
+            if best[0] <= k and judge(lo, hi, -best[1]):
+                return inside, sentence
+            continue
+        first, last = min(row), max(row)
+        while lo < hi:
+            c = heads[lo][j]
+            end = hi if heads[hi - 1][j] == c else max(lo + 1, _past(heads, heads[lo][: j + 1], lo, hi))
+            new: dict[int, int] = {}  # only alignments within the edits allowed are kept
+            e = diagonal = k + 1
+            for i in range(first, m + 1):
+                above = row.get(i, k + 1)
+                e = min(above, e) + 1
+                if i > same and diagonal + (short[i - 1] != c) < e:
+                    e = diagonal + (short[i - 1] != c)
+                diagonal = above
+                if e <= k:
+                    new[i] = e
+                elif i > last:
+                    break
+            now = min(best, (new[m], -j - 1)) if m in new else best
+            if new:
+                todo.append((lo, end, j + 1, new, now))
+            elif now[0] <= k and judge(lo, end, -now[1]):
+                return inside, sentence
+            lo = end
+    return (inside, sentence) if met else None
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
-            rows = [(g, t, *s) for g, t in zip(batch.column("kind").slice(lo, 2048).to_pylist(), batch.column("text").slice(lo, 2048).to_pylist()) for s in sketches(t)]
+            each = zip(batch.column("kind").slice(lo, 2048).to_pylist(), batch.column("text").slice(lo, 2048).to_pylist())
+            rows = {(g, head(t, n), n, bucket, largest) for g, t in each for n, bucket, largest in sketches(t)}
             cols = list(zip(*rows)) if rows else [[]] * 5
             types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["kind", "text", "scale", "bucket", "largest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["kind", "head", "scale", "bucket", "largest"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each part of a bucket comes as its sorted heads, then its short texts."""
+    of, heads, held = None, [], None
     for batch in batches:
         rows = []
-        for kind, text, after in zip(*(batch.column(c).to_pylist() for c in ("kind", "text", "follower"))):
-            n = aligned(text, after)
-            if n is not None and n < len(after):
-                rest = after[n:]
-                inside = rest[0].isalnum() and text[-1].isalnum() or len(rest) > 1 and rest[0] in "'’" and rest[1].isalpha()
-                sentence = not text[-1] in ".!?" and (inside or rest[0] in ",;:" or rest.lstrip()[:1].islower())
-                rows.append((kind, text, inside, sentence))
+        for *key, short, text in zip(*(batch.column(c).to_pylist() for c in ("kind", "scale", "bucket", "part", "short", "head"))):
+            if key != of:
+                of, heads, held = key, [], None
+            if not short:
+                heads.append(text)
+                continue
+            held = neighbours(heads) if held is None else held
+            if (got := carried_on(text, heads, held)) is not None:
+                rows.append((key[0], text, *got))
         cols = list(zip(*rows)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.bool_()))], ["kind", "text", "inside", "goes_on"])
 
 
-def near_copies(texts: DataFrame) -> DataFrame:
+def near_copies(texts: DataFrame, held: int = HELD) -> DataFrame:
     """kind, text, inside, goes_on of the distinct (kind, text) that end before a near-copy of theirs does."""
-    sketched = spread(texts.select("kind", "text").distinct()).mapInArrow(_sketched, "kind string, text string, scale int, bucket bigint, largest boolean")
-    order = Window.partitionBy("kind", "scale", "bucket").orderBy("text")
-    pairs = sketched.withColumn("follower", F.lead("text").over(order)).filter("largest and follower is not null and length(follower) > length(text)")
-    met = pairs.select("kind", "text", "follower").distinct().mapInArrow(_compared, "kind string, text string, inside boolean, goes_on boolean")
+    bucket = ["kind", "scale", "bucket"]
+    sketched = spread(texts.select("kind", "text").distinct()).mapInArrow(_sketched, "kind string, head string, scale int, bucket bigint, largest boolean")
+    heads = sketched.repartition(*bucket).groupBy(*bucket, "head", "largest").agg(F.lit(1).alias("one"))
+    over = Window.partitionBy(*bucket)
+    sized = heads.withColumn("n", F.count("*").over(over)).withColumn("met", F.max("largest").over(over)).filter("met and n > 1")
+    parts = F.ceil(F.col("n") / held).cast("int")
+    own = F.array(F.struct(F.pmod(F.xxhash64("head"), parts).cast("int").alias("part"), F.lit(False).alias("short")))
+    every = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(p.alias("part"), F.lit(True).alias("short")))
+    roles = sized.select(*bucket, "head", F.inline(F.when(F.col("largest"), F.concat(own, every)).otherwise(own)))
+    met = spread(roles, *bucket, "part").sortWithinPartitions(*bucket, "part", "short", "head").mapInArrow(_compared, "kind string, text string, inside boolean, goes_on boolean")
     return met.groupBy("kind", "text").agg(F.max("inside").alias("inside"), F.max("goes_on").alias("goes_on"))
 
 

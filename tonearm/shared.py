@@ -74,10 +74,10 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Over tasks that fill the cluster twice, for work whose input bytes say little about its CPU time."""
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Over tasks that fill the cluster twice (by columns), for work whose input bytes say little about its CPU time."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *by)
 
 
 def release() -> None:
