@@ -116,13 +116,13 @@ def tag_items(found: DataFrame, kind: str) -> DataFrame:
 
 def encoded(samples: DataFrame, stream: str, kind: str, rate: int, bits: int) -> DataFrame:
     """``stream`` and content: a file for each stream of (stream, frame_idx, channel, sample). A file is one value, so a
-    stream is gathered in one task, as any file is."""
+    stream is gathered in one task, as any file is. A stream with samples beyond ``bits`` gets a wider file."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("frame_idx", "ascending"), ("channel", "ascending")])
         channels = len(set(table.column("channel").to_pylist()))
         block = table.column("sample").to_numpy().reshape(-1, channels)
-        data = containers.WRITERS[kind](containers.Sound(rate, bits, 0, block))
+        data = containers.WRITERS[kind](containers.Sound(rate, containers.width(block, bits), 0, block))
         return pa.table({stream: table.column(stream).slice(0, 1), "content": pa.array([data], pa.binary())})
 
     kind_of = samples.schema[stream].dataType.simpleString()
