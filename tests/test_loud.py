@@ -25,3 +25,8 @@ def _same_as_sql(spark, d, name):
 
 def test_au_roundtrip(spark, loud):
     _same_as_sql(spark, loud, "au_roundtrip")
+
+
+def test_wav_roundtrip(spark, loud):
+    _same_as_sql(spark, loud, "wav_roundtrip")
+    _same_as_sql(spark, loud, "aiff_roundtrip")  # asks for 24 bits
