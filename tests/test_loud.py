@@ -30,3 +30,7 @@ def test_au_roundtrip(spark, loud):
 def test_wav_roundtrip(spark, loud):
     _same_as_sql(spark, loud, "wav_roundtrip")
     _same_as_sql(spark, loud, "aiff_roundtrip")  # asks for 24 bits
+
+
+def test_wav_verify(spark, loud):
+    _same_as_sql(spark, loud, "wav_verify")

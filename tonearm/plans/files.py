@@ -47,14 +47,19 @@ def au_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, 'wav' AS format, 0 AS faults, 44 + 4 * count(*) AS bytes FROM s GROUP BY 1")
 def wav_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Format by content, structural faults and size of the streams as WAV files."""
+    """Format by content, structural faults and size of the streams as WAV files of 16 bits.
+
+    The size asked for is that of 16 bits, so samples beyond are held at the ends of the range, as the reference's writer
+    does (src/pcm_conv.c:347); no sample is part of the answer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = b.column("content").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("user_id"), pa.array([tags.sniff(x) for x in data], pa.string()), pa.array([len(containers.faults(x)) for x in data], pa.int32()), pa.array([len(x) for x in data], pa.int64())], ["user_id", "format", "faults", "bytes"])
 
-    return reader.encoded(_channels(spark, d), "user_id", "wav", 44100, 16).mapInArrow(run, "user_id bigint, format string, faults int, bytes bigint")
+    held = _channels(spark, d).withColumn("sample", S.clamp(F.col("sample"), 16))
+    return reader.encoded(held, "user_id", "wav", 44100, 16).mapInArrow(run, "user_id bigint, format string, faults int, bytes bigint")
 
 
 def _tagged(spark: SparkSession, d: str, system: int, write: object) -> DataFrame:
